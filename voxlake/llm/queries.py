@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from voxlake.llm.common import table
 from voxlake.llm.html_extraction import extract_main_text
+from voxlake.llm.language import identify_languages
 from voxlake.llm.packing import pack_documents
+from voxlake.llm.quality import score_quality
 from voxlake.llm.secrets import find_secrets, joined
 from voxlake.llm.substring_dedup import substring_dedup
 from voxlake.llm.tokens import count_tokens, vocabulary
@@ -45,6 +47,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents")).drop("lang_spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scans": op2_secret_scans,
@@ -52,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_extraction": op4_html_extraction,
     "op5_exact_top_k": op5_exact_top_k,
     "op7_token_counts": op7_token_counts,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLES: dict[str, str] = {
