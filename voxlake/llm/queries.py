@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxlake.llm.common import table
 from voxlake.llm.html_extraction import extract_main_text
+from voxlake.llm.jaccard_join import jaccard_components
 from voxlake.llm.language import identify_languages
 from voxlake.llm.packing import pack_documents
 from voxlake.llm.quality import score_quality
@@ -43,6 +44,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), "id % 100 = 0")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -61,12 +66,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_html_extraction": op4_html_extraction,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_token_counts": op7_token_counts,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_language_id": op9_language_id,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (
+  SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 75 * (a.n + b.n - k)),
+both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM d
+  UNION
+  SELECT reach.doc_id, b.y FROM reach JOIN both_ways b ON b.x = reach.r)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id)
+JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)""",
     "op5_exact_top_k": r"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
