@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.llm.common import docs_of, empty, pieces, staged
-from voxlake.llm.tokens import WordIds
+from voxlake.llm.tokens import word_ids
 
 SIZE, END_ID = 4096, 1
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
@@ -159,7 +159,7 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 def _encode(path: str, size: int, keep_ids: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = WordIds(path), END_ID.to_bytes(4, "little")
+        ids_of, end = word_ids(path), END_ID.to_bytes(4, "little")
         schema = _PIECES if keep_ids else pa.schema(list(_PIECES)[:-1])
         yield empty(schema)
         for whole in batches:
