@@ -5,12 +5,15 @@ starts earlier (smaller doc_id, or same document and smaller start); windows are
 
 Plan, every step linear in the input:
 1. each document is cut at content-defined anchors: every window picks the k-word gram of least hash in it, so equal
-   windows pick equal anchors; neighbouring windows with one anchor form a run (one row for about eight words);
+   windows pick equal anchors; neighbouring windows with one anchor form a run (one row for about eight words). Windows
+   that repeat an earlier one of their own document are settled at once;
 2. runs whose anchor occurs nowhere else are dropped (one shuffle on the anchor);
 3. the surviving runs fetch their words; equal runs are pre-aggregated to (words, first place, number);
-4. runs are sharded by anchor. A shard confirms the phrases (windows seen at least twice), compiles them into a
-   pyahocorasick automaton over word numbers and streams its runs through it to locate every occurrence;
-5. located phrases that start earlier elsewhere become removed spans, joined back to the documents.
+4. runs are sharded by anchor. A shard confirms the recurring windows, joins neighbouring ones with neighbouring first
+   places to phrases, compiles the phrases into a pyahocorasick automaton over word numbers and streams its runs through
+   it to locate every occurrence;
+5. located phrases that start earlier elsewhere become removed spans, joined back to the documents. A bounded bitmap of
+   the documents that matter lets the others pass the joins of steps 3 and 5 by.
 
 Exact copies of whole texts never reach steps 1 to 4: all but the first are removed as a whole, so a copied text that
 holds a third of the rows costs one row for each task.
@@ -22,6 +25,7 @@ doc_id are each returned, and share the spans found for it.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import ahocorasick
@@ -32,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.llm.common import byte_texts, docs_of, empty, pieces, staged
+from voxlake.llm.sieve import only_maybe, sieve
 
 WINDOW, GRAM = 20, 6
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -47,6 +52,12 @@ class _Hashes(dict):
         return value
 
 
+@functools.lru_cache(maxsize=1)
+def _shared_hashes() -> _Hashes:
+    """One for each worker process."""
+    return _Hashes()
+
+
 def rolling(x: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of every k neighbouring values."""
     n = len(x) - k + 1
@@ -62,30 +73,75 @@ def rolling(x: np.ndarray, k: int) -> np.ndarray:
     return r
 
 
-def runs_of(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window start, number of windows) of each run of one document."""
-    n = len(hashes) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams, width = rolling(hashes, gram), window - gram + 1
-    best, at = grams[:n].copy(), np.arange(n)
-    for j in range(1, width):
-        less = grams[j : j + n] < best
-        best = np.where(less, grams[j : j + n], best)
-        at = np.where(less, np.arange(j, j + n), at)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return grams[at[first]], first, np.diff(np.r_[first, n])
-
-
-_RUNS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
+def repeated_inside(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which windows repeat an earlier window of the same owner (document number)."""
+    keys = hashes ^ (owner.astype(np.uint64) * _MULT)
+    ordered = np.sort(keys)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    out = np.zeros(len(keys), bool)
+    if len(twice):
+        at = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)
+        places = np.flatnonzero(twice[at] == keys)
+        order = np.argsort(keys[places], kind="stable")
+        same = keys[places][order]
+        out[places[order[1:][same[1:] == same[:-1]]]] = True
+    return out
+
+
+def least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """Where each stretch of `width` values has its least one (high 40 bits count, then the place)."""
+    n = len(values) - width + 1
+    places = np.uint64((1 << 24) - 1)
+    out = np.empty(n, np.int64)
+    for begin in range(0, n, 1 << 23):
+        part = values[begin : min(n, begin + (1 << 23)) + width - 1]
+        keys, reach = (part & ~places) | np.arange(len(part), dtype=np.uint64), 1
+        while 2 * reach <= width:
+            keys = np.minimum(keys[:-reach], keys[reach:])
+            reach *= 2
+        if width > reach:
+            keys = np.minimum(keys[: len(keys) - (width - reach)], keys[width - reach :])
+        out[begin : begin + len(keys)] = (keys & places).astype(np.int64) + begin
+    return out
+
+
+def runs_of(hashes: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Of concatenated documents: (anchor, document number, first window, windows) of runs, and the last three of spans
+    of windows that repeat earlier ones of their document."""
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    counts = np.maximum(sizes - window + 1, 0)
+    total = int(counts.sum())
+    owner = np.repeat(np.arange(len(sizes)), counts)
+    local = np.arange(total) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
+    place = local + starts[owner]
+    n = max(0, len(hashes) - window + 1)
+    if not total:
+        none = np.zeros(0, np.int64)
+        return (none.view(np.uint64), none, none, none), (none, none, none)
+    grams = rolling(hashes, gram)
+    at = least_places(grams, window - gram + 1)
+    again = repeated_inside(rolling(hashes, window)[place], owner)
+
+    def grouped(rows: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cut = np.flatnonzero(np.r_[True, breaks | (np.diff(local[rows]) != 1) | (np.diff(owner[rows]) != 0)]) if len(rows) else np.zeros(0, int)
+        return rows[cut], np.diff(np.r_[cut, len(rows)]), cut
+
+    rows = np.flatnonzero(~again)
+    first, many, _ = grouped(rows, np.diff(at[place[rows]]) != 0)
+    spans = np.flatnonzero(again)
+    begin, long, _ = grouped(spans, np.zeros(max(0, len(spans) - 1), bool))
+    return (grams[at[place[first]]], owner[first], local[first], many), (owner[begin], local[begin], long)
+
+
+_RUNS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("inside", pa.bool_())])
 
 
 def _scan(window: int, gram: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = _Hashes(), {}
+        cache, seen = _shared_hashes(), {}
         for whole in batches:
             for batch in pieces(whole):
-                out: list[list[np.ndarray]] = [[], [], [], []]
+                ids, arrays = [], []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), byte_texts(batch)):
                     key = xxhash.xxh3_128_digest(text)
                     if doc is None or seen.get(key, doc + 1) <= doc:
@@ -93,13 +149,16 @@ def _scan(window: int, gram: int):
                     if len(seen) < 500_000:
                         seen[key] = doc
                     words = text.split()
-                    if len(words) < window:
-                        continue
-                    anchors, lo, n = runs_of(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)), window, gram)
-                    for column, values in zip(out, (anchors.view(np.int64), np.full(len(lo), doc), lo, n)):
-                        column.append(values)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type, safe=False) for c, f in zip(out, _RUNS)], schema=_RUNS)
+                    if len(words) >= window:
+                        ids.append(doc)
+                        arrays.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
+                if not ids:
+                    continue
+                docs = np.array(ids)
+                (anchor, owner, lo, n), (owner2, lo2, n2) = runs_of(np.concatenate(arrays), np.array(list(map(len, arrays))), window, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(docs[owner]), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.zeros(len(lo), bool))], schema=_RUNS)
+                if len(lo2):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(lo2), np.int64)), pa.array(docs[owner2]), pa.array(lo2.astype(np.int32)), pa.array(n2.astype(np.int32)), pa.array(np.ones(len(lo2), bool))], schema=_RUNS)
 
     return scan
 
@@ -123,65 +182,102 @@ def _cut(window: int):
     return cut
 
 
-_FOUND = pa.schema([("anchor", pa.int64()), ("key", pa.binary()), ("first_doc", pa.list_(pa.int64())), ("first_at", pa.list_(pa.int32()))])
+_PHRASE = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("doc", pa.int64()), ("first", pa.int32())])
+_FOUND = pa.schema([("anchor", pa.int64()), ("key", pa.binary()), ("phrases", pa.list_(_PHRASE))])
+
+
+def _confirm(numbers: np.ndarray, sizes: np.ndarray, docs: np.ndarray, los: np.ndarray, copies: np.ndarray, window: int) -> list[tuple[int, int, int, int, int]]:
+    """Phrases of the runs of one shard, as (begin, windows, length, first document, first start); begin and length
+    count in the concatenated numbers. A phrase is a longest stretch of windows that occur more than once and whose
+    first places follow one another."""
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    counts = np.maximum(sizes - window + 1, 0)
+    owner = np.repeat(np.arange(len(sizes)), counts)
+    local = np.arange(int(counts.sum())) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
+    place = local + starts[owner]
+    if not len(place):
+        return []
+    mixed = (numbers.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(32)
+    one, two = rolling(mixed, window)[place], rolling(mixed * _MULT ^ (mixed >> np.uint64(17)), window)[place]
+    doc, at = docs[owner], los[owner] + local
+    order = np.lexsort((at, doc, two, one))
+    new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]
+    heads, group = order[new], np.cumsum(new) - 1
+    often = np.empty(len(order), bool)
+    often[order] = (np.bincount(group, copies[owner[order]]) > 1)[group]
+    first_doc, first_at = np.empty_like(doc), np.empty_like(at)
+    first_doc[order], first_at[order] = doc[heads][group], at[heads][group]
+    rows = np.flatnonzero(often)
+    if not len(rows):
+        return []
+    follows = (np.diff(rows) == 1) & (np.diff(owner[rows]) == 0) & (np.diff(first_doc[rows]) == 0) & (np.diff(first_at[rows]) == 1)
+    cut = np.flatnonzero(np.r_[True, ~follows])
+    long = np.diff(np.r_[cut, len(rows)])
+    rows = rows[cut]
+    return list(zip(place[rows].tolist(), long.tolist(), (long + window - 1).tolist(), first_doc[rows].tolist(), first_at[rows].tolist()))
 
 
 def _locate(window: int):
     def locate(table: pa.Table) -> pa.Table:
         """One shard: confirm phrases, compile the automaton, stream the runs."""
-        numbers: dict[bytes, int] = {}
-        texts = [tuple(numbers.setdefault(w, len(numbers)) for w in t.split()) for t in table.column("words").to_pylist()]
-        docs, los, counts = (table.column(c).to_pylist() for c in ("doc_id", "lo", "copies"))
-        first: dict[tuple, tuple] = {}
-        often: set[tuple] = set()
-        for words, doc, lo, copies in zip(texts, docs, los, counts):
-            for j in range(len(words) - window + 1):
-                phrase, place = words[j : j + window], (doc, lo + j)
-                known = first.get(phrase)
-                if known is not None or copies > 1:
-                    often.add(phrase)
-                if known is None or place < known:
-                    first[phrase] = place
+        numbers = _Numbers()
+        texts = [tuple(map(numbers.__getitem__, t.split())) for t in table.column("words").to_pylist()]
+        flat = [x for t in texts for x in t]
+        column = lambda c: np.array(table.column(c).to_pylist(), np.int64)
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for phrase in often:
-            automaton.add_word(phrase, first[phrase])
-        first.clear()
-        if often:
+        for begin, n, length, doc, at in _confirm(np.array(flat, np.int64), np.array(list(map(len, texts))), column("doc_id"), column("lo"), column("copies"), window):
+            automaton.add_word(tuple(flat[begin : begin + length]), (n, doc, at))
+        ends, ats, ns, docs, firsts = [0], [], [], [], []
+        if len(automaton):
             automaton.make_automaton()
-        found_doc, found_at = [], []
         for words in texts:
-            n = len(words) - window + 1
-            d, a = [None] * n, [None] * n
-            if often:
-                for end, (doc, at) in automaton.iter(words):
-                    d[end - window + 1], a[end - window + 1] = doc, at
-            found_doc.append(d)
-            found_at.append(a)
-        return pa.table([table.column("anchor"), table.column("key"), pa.array(found_doc, _FOUND.field(2).type), pa.array(found_at, _FOUND.field(3).type)], schema=_FOUND)
+            if len(automaton):
+                located = [(end - window + 2 - n, -n, doc, at) for end, (n, doc, at) in automaton.iter(words)]
+                if len(located) > 1:
+                    located.sort()
+                reach = 0
+                for begin, n, doc, at in located:  # phrases inside a longer one say the same
+                    if begin - n > reach:
+                        reach = begin - n
+                        ats.append(begin), ns.append(-n), docs.append(doc), firsts.append(at)
+            ends.append(len(ats))
+        struct = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip((ats, ns, docs, firsts), _PHRASE)], fields=list(_PHRASE))
+        found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)
+        return pa.table([table.column("anchor"), table.column("key"), found], schema=pa.schema([*list(_FOUND)[:2], pa.field("phrases", found.type)]))
 
     return locate
 
 
+class _Numbers(dict):
+    """Numbers of words, in the order they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
+
+
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
 
-def _remove(window: int):
+def _remove(window: int, marked: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield empty(_KEPT)
         for whole in batches:
             for batch in pieces(whole, 1000, 8):
-                rows = []
-                for doc, text, starts, copy in zip(batch.column("doc_id").to_pylist(), byte_texts(batch), batch.column("starts").to_pylist(), batch.column("copy").to_pylist()):
+                rows, nothing = [], [None] * batch.num_rows
+                spans_of, copy_of = (batch.column(c).to_pylist() if marked else nothing for c in ("spans", "copy"))
+                for doc, text, spans, copy in zip(batch.column("doc_id").to_pylist(), byte_texts(batch), spans_of, copy_of):
                     words = text.split()
                     n, kept = len(words), words
                     if copy and n >= window:
                         kept = []
-                    elif starts:
+                    elif spans:
                         edges = np.zeros(n + 1, np.int64)
-                        s = np.unique(np.asarray([x for part in starts for x in part], np.int64))
-                        s = s[s + window <= n]
-                        edges[s] += 1
-                        edges[s + window] -= 1
+                        s = np.array([(x["lo"], x["lo"] + x["n"] + window - 1) for part in spans for x in part])
+                        s = s[s[:, 1] <= n]
+                        np.add.at(edges, s[:, 0], 1)
+                        np.add.at(edges, s[:, 1], -1)
                         kept = [words[i] for i in np.flatnonzero(np.cumsum(edges[:n]) == 0)]
                     rows.append((doc, n, n - len(kept), b" ".join(kept).decode()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _KEPT)], schema=_KEPT)
@@ -195,23 +291,26 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
     shard_regions: distinct runs in one automaton, about; the number of shards follows the input.
     """
     docs = docs_of(docs)
-    runs = docs.mapInArrow(_scan(window, gram), "anchor long, doc_id long, lo int, n int")
+    scanned = staged(docs.mapInArrow(_scan(window, gram), "anchor long, doc_id long, lo int, n int, inside boolean"))
     near = Window.partitionBy("anchor").orderBy("doc_id", "lo")
-    runs = runs.withColumn("before", F.lag("lo").over(near)).withColumn("after", F.lead("lo").over(near))
-    runs = runs.where("before is not null or after is not null").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("runs"))
-    regions = staged(docs.join(runs, "doc_id").mapInArrow(_cut(window), "anchor long, key binary, doc_id long, lo int, words binary"))
+    runs = scanned.where("not inside").drop("inside").withColumn("before", F.lag("lo").over(near)).withColumn("after", F.lead("lo").over(near))
+    runs = staged(runs.where("before is not null or after is not null").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("runs")))
+    asked, _ = only_maybe(docs, sieve(runs, "doc_id", runs.count()), F.col("doc_id"))
+    regions = staged(asked.join(runs, "doc_id").mapInArrow(_cut(window), "anchor long, key binary, doc_id long, lo int, words binary"))
     distinct = staged(regions.groupBy("anchor", "key").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("copies"), F.any_value("words").alias("words")).select("anchor", "key", "first.doc_id", "first.lo", "copies", "words"))
     shards = max(1, -(-distinct.count() // shard_regions))
-    found = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).repartition(F.col("shard")).groupBy("shard")
-    found = found.applyInArrow(_locate(window), "anchor long, key binary, first_doc array<long>, first_at array<int>")
-    found = found.where(F.exists("first_doc", lambda x: x.isNotNull()))
+    found = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard")
+    found = found.applyInArrow(_locate(window), "anchor long, key binary, phrases array<struct<at: int, n: int, doc: long, first: int>>").where(F.size("phrases") > 0)
     places = regions.select("anchor", "key", "doc_id", "lo").join(found, ["anchor", "key"])
-    later = F.filter(F.sequence(F.lit(0), F.size("first_doc") - 1), lambda j: (F.get("first_doc", j) < F.col("doc_id")) | ((F.get("first_doc", j) == F.col("doc_id")) & (F.get("first_at", j) < F.col("lo") + j)))
-    spans = places.select("doc_id", F.transform(later, lambda j: j + F.col("lo")).alias("starts")).where(F.size("starts") > 0)
-    spans = spans.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+    later = F.filter("phrases", lambda p: (p["doc"] < F.col("doc_id")) | ((p["doc"] == F.col("doc_id")) & (p["first"] < F.col("lo") + p["at"])))
+    spans = places.select("doc_id", F.transform(later, lambda p: F.struct((p["at"] + F.col("lo")).alias("lo"), p["n"].alias("n"))).alias("spans")).where(F.size("spans") > 0)
+    inside = scanned.where("inside").select("doc_id", F.array(F.struct("lo", "n")).alias("spans"))
     # whole texts that an earlier document has too
     keyed = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("a"), F.crc32("text").alias("b"), F.length("text").alias("c"))
     firsts = keyed.groupBy("a", "b", "c").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    copies = keyed.join(firsts, ["a", "b", "c"]).where("doc_id > first").select("doc_id").distinct().withColumn("copy", F.lit(True))
-    marks = spans.join(copies, "doc_id", "full").select("doc_id", "starts", "copy")
-    return docs.join(marks, "doc_id", "left").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    copies = keyed.join(firsts, ["a", "b", "c"]).where("doc_id > first").select("doc_id")
+    marks = spans.unionByName(inside).withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
+    marks = staged(marks.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"), F.bool_or("copy").alias("copy")))
+    changed, whole = only_maybe(docs, sieve(marks, "doc_id", marks.count()), F.col("doc_id"))
+    schema = "doc_id long, n_words long, n_removed long, kept_text string"
+    return changed.join(marks, "doc_id", "left").mapInArrow(_remove(window, True), schema).unionAll(whole.mapInArrow(_remove(window, False), schema))
