@@ -22,7 +22,7 @@ def parse_region(spec: str) -> tuple[int, int, int, int, int, int]:
 def parse_coords(lines: DataFrame, default_scroll: str, column: str = "value") -> DataFrame:
     """(scroll, z, y, x) of lines `Z,Y,X` or `SCROLL,Z,Y,X`; `#` begins a comment; blank lines go, other forms fail."""
     text = F.trim(F.regexp_replace(column, "#.*$", ""))
-    parts = lines.select(F.transform(F.split(text, ","), F.trim).alias("p"), text.alias("t")).where(F.col("t") != "")
+    parts = lines.select(F.transform(F.split(text, ","), lambda x: F.trim(x)).alias("p"), text.alias("t")).where(F.col("t") != "")
     bad = F.raise_error(F.concat(F.lit("not a coordinate line: "), F.col("t")))
     n = F.size("p")
     number = lambda back: F.element_at("p", -back).cast("long")

@@ -13,7 +13,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def voxels(spark: SparkSession, folder: str) -> DataFrame:
     """A (z, y, x, v) grid from lineitem: month of shipping, part and supplier cells; v is a byte."""
     t = table(spark, folder, "lineitem")
-    z = ((F.year("l_shipdate") - 1992) * 12 + F.month("l_shipdate") - 1).cast("long")
+    z = ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).cast("long")
     cells = t.groupBy(z.alias("z"), (F.col("l_partkey") % 64).alias("y"), (F.col("l_suppkey") % 64).alias("x"))
     return cells.agg((F.sum("l_quantity").cast("long") % 256).alias("v"))
 
