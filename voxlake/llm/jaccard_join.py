@@ -9,10 +9,12 @@ component. Similar documents are partitioned into groups, each group's token uni
    min(l) of these, so a class with fewer tokens that any other class holds has no link and leaves.
 3. The rest fetch their whole sets and are grouped by their least shared token. A group is opened and solved exactly in
    memory: a query from outside the largest component is compared with all members by an inverted index, until no two
-   components with unasked members are left. A large group is dealt into chunks that all hold the same pivots.
-4. Components are the groups of the matrix now. A query qualifies only if at least min(l) of its dealt tokens, and then
-   at least ceil(0.75 n) of all its tokens, are in unions of other groups; of those, the rarest n - ceil(0.75 n) + 1
-   tokens name the groups to open; members of an opened group are compared exactly.
+   components with unasked members are left. A large group is dealt into chunks that all hold the same pivots. What the
+   matrix of step 4 leaves is grouped by two other keys once more.
+4. The matrix: a query is asked further only if at least min(l) of its dealt tokens, and then at least ceil(0.75 n) of all
+   its tokens, are held by other components. Those left are partitioned into groups of similar sets, a row for each token
+   and group is the group's union; the rarest n - ceil(0.75 n) + 1 of a query's shared tokens must meet a group's union
+   for the group to be opened, and the members of an opened group are compared exactly, in memory.
 
 Nothing is capped: every step keeps all that can link. Defined results: null text is empty; an empty set links with
 nothing; with fewer than five words the whole sequence is one shingle; rows without doc_id are returned alone, with a
@@ -32,9 +34,11 @@ from pyspark.sql import functions as F
 from voxlake.llm.common import byte_texts, docs_of, empty, pieces, staged
 from voxlake.llm.components import components
 from voxlake.llm.sieve import only_maybe, sieve
-from voxlake.llm.substring_dedup import _Hashes, rolling
+from voxlake.llm.substring_dedup import _shared_hashes, rolling
 
 SHINGLE, CHUNK, PIVOTS = 5, 2000, 16
+#: Rows of two or three numbers that a join may broadcast: about 40 MB.
+BROADCAST_ROWS = 500_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -63,7 +67,7 @@ def shingle_set(text: bytes, cache: dict, k: int = SHINGLE) -> np.ndarray:
 
 
 def _each(batches: Iterator[pa.RecordBatch]):
-    cache = _Hashes()
+    cache = _shared_hashes()
     for whole in batches:
         for batch in pieces(whole):
             yield batch, [shingle_set(t, cache) for t in byte_texts(batch)]
@@ -109,21 +113,33 @@ _SETS = pa.schema([("sig", pa.int64()), ("tokens", pa.binary())])
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield empty(_SETS)
     for batch, sets in _each(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array([s.tobytes() for s in sets], pa.binary())], schema=_SETS)
+        own = [(sig, s.tobytes()) for sig, s in zip(batch.column("sig").to_pylist(), sets) if sig == _class_of(s)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in own], f.type) for k, f in enumerate(_SETS)], schema=_SETS)
 
 
 def links(n_a: int, n_b: np.ndarray, shared: np.ndarray) -> np.ndarray:
     return 4 * shared >= 3 * (n_a + n_b - shared)
 
 
+class Index:
+    """Tokens of some sets with their owners, for counting what a query shares with each."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array(list(map(len, sets)))
+        owners, tokens = np.repeat(np.arange(len(sets)), self.sizes), np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owners = tokens[order], owners[order]
+
+    def shared(self, query: np.ndarray) -> np.ndarray:
+        a, b = np.searchsorted(self.tokens, query, "left"), np.searchsorted(self.tokens, query, "right")
+        spans = b - a
+        at = np.repeat(a - np.r_[0, np.cumsum(spans)[:-1]], spans) + np.arange(spans.sum())
+        return np.bincount(self.owners[at], minlength=len(self.sizes))
+
+
 def solve_group(sets: list[np.ndarray]) -> list[int]:
     """The component of each set, as the number of one member."""
-    m = len(sets)
-    sizes = np.array(list(map(len, sets)))
-    owners = np.repeat(np.arange(m), sizes)
-    tokens = np.concatenate(sets)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owners = tokens[order], owners[order]
+    index, m = Index(sets), len(sets)
     comp, asked = np.arange(m), np.zeros(m, bool)
     while True:
         left = np.flatnonzero(~asked)
@@ -133,11 +149,7 @@ def solve_group(sets: list[np.ndarray]) -> list[int]:
         largest = found[counts.argmax()]
         q = int(left[comp[left] != largest][0])
         asked[q] = True
-        a, b = np.searchsorted(tokens, sets[q], "left"), np.searchsorted(tokens, sets[q], "right")
-        spans = b - a
-        at = np.repeat(a - np.r_[0, np.cumsum(spans)[:-1]], spans) + np.arange(spans.sum())
-        shared = np.bincount(owners[at], minlength=m)
-        hit = np.flatnonzero(links(int(sizes[q]), sizes, shared))
+        hit = np.flatnonzero(links(int(index.sizes[q]), index.sizes, index.shared(sets[q])))
         comp[np.isin(comp, comp[hit])] = comp[q]
 
 
@@ -160,16 +172,23 @@ def _solve(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGES)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield empty(_EDGES)
-    for batch in batches:
-        a, b = [], []
-        for x, y, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "s", "t"))):
-            s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-            if links(len(s), np.array(len(t)), np.array(len(np.intersect1d(s, t, assume_unique=True)))):
-                a.append(x)
-                b.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGES)
+def _open(table: pa.Table) -> pa.Table:
+    """Edges from the queries of an opened group to one linked member of each other component."""
+    rows = {0: [], 1: []}
+    for row, query in enumerate(table.column("query").to_pylist()):
+        rows[query].append(row)
+    sigs, comps, data = (table.column(c).to_pylist() for c in ("sig", "comp", "tokens"))
+    a, b = [], []
+    if rows[0] and rows[1]:
+        index = Index([np.frombuffer(data[r], np.uint64) for r in rows[0]])
+        held = np.array([comps[r] for r in rows[0]])
+        for q in rows[1]:
+            s = np.frombuffer(data[q], np.uint64)
+            hit = np.flatnonzero(links(len(s), index.sizes, index.shared(s)) & (held != comps[q]))
+            for comp in np.unique(held[hit]) if len(hit) else ():
+                a.append(sigs[q])
+                b.append(sigs[rows[0][int(hit[held[hit] == comp][0])]])
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGES)
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +206,30 @@ def _several(rows: DataFrame, what: str) -> DataFrame:
     return rows.withColumn("_lo", F.min(what).over(w)).withColumn("_hi", F.max(what).over(w)).where("_lo <> _hi").drop("_lo", "_hi")
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A hint to broadcast df (a few numbers a row) if it is known to be small; else the join is Spark's choice."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _round(sets: DataFrame, keyed: DataFrame, n: int) -> DataFrame:
+    """Edges found inside groups. sets: (sig, tokens); keyed: (sig, grp), n rows. A large group is dealt into chunks, and
+    each of them also gets the group's pivots."""
+    buckets = max(1, -(-n // CHUNK))
+    sizes = keyed.groupBy("grp").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
+    sizes = staged(sizes)
+    large = sizes.count()
+    own = F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int")
+    dealt = keyed.join(_small(sizes, large), "grp", "left").select("sig", "grp", F.coalesce(own, F.lit(0)).alias("chunk"))
+    if large:
+        order = Window.partitionBy("grp").orderBy("sig")
+        pivots = keyed.join(_small(sizes, large), "grp").withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS)
+        others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != own)
+        dealt = dealt.unionByName(pivots.select("sig", "grp", F.explode(others).alias("chunk")))
+    bucket = F.when(F.col("chunk") > 0, F.xxhash64("grp", "chunk")).otherwise(F.pmod(F.xxhash64("grp"), F.lit(buckets)))
+    members = sets.join(_small(dealt.withColumn("bucket", bucket), n), "sig").select("bucket", "grp", "chunk", "sig", "tokens")
+    return members.groupBy("bucket").applyInArrow(_solve, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
     docs = docs_of(docs)
@@ -201,39 +244,46 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     asked = staged(asked.join(firsts, "sig"))
     n_asked = asked.count()
     mine, _ = only_maybe(docs, sieve(asked, "first", n_asked), F.col("doc_id"))
-    texts = mine.join(asked.select(F.col("first").alias("doc_id"), "sig"), "doc_id").select("doc_id", "text", "sig").dropDuplicates(["sig"])
-    grouped = asked.select("sig", F.array_min("dealt").alias("grp"))
-    sets = staged(texts.mapInArrow(_sets, "sig long, tokens binary").join(grouped, "sig"))
-
-    # groups, the large ones in chunks with common pivots
-    buckets = max(1, -(-n_asked // CHUNK))
-    chunks = sets.groupBy("grp").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
-    members = sets.join(chunks, "grp", "left").withColumn("chunk", F.when(F.col("chunks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int")))
-    order = Window.partitionBy("grp").orderBy("sig")
-    pivots = sets.select("grp", "sig").join(chunks, "grp").withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS)
-    pivots = pivots.select("sig", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    again = sets.join(pivots, "sig").select("grp", "sig", "tokens", "chunk")
-    members = members.select("grp", "sig", "tokens", "chunk").unionByName(again).dropDuplicates(["grp", "sig", "chunk"])
-    members = members.withColumn("bucket", F.when(F.col("chunk") > 0, F.xxhash64("grp", "chunk")).otherwise(F.pmod(F.xxhash64("grp"), F.lit(buckets))))
-    edges = staged(members.groupBy("bucket").applyInArrow(_solve, "a long, b long"))
-    solved = staged(components(edges))
+    texts = mine.join(_small(asked.select(F.col("first").alias("doc_id"), "sig"), n_asked), "doc_id").select("doc_id", "text", "sig")
+    sets = staged(texts.mapInArrow(_sets, "sig long, tokens binary"))
+
+    # groups by the least dealt token
+    edges = staged(_round(sets, asked.select("sig", F.array_min("dealt").alias("grp")), n_asked))
+    solved = components(edges)
+    comp_of = staged(asked.select("sig").join(solved.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("comp", "sig").alias("comp")))
 
     # the matrix of tokens and components: queries that other components' unions may cover
-    comp_of = asked.select("sig").join(solved.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("comp", "sig").alias("comp"))
-    comp_of = staged(comp_of)
-    matrix = _several(asked.select("sig", "n", F.explode("dealt").alias("token")).join(comp_of, "sig"), "comp")
-    suspects = staged(matrix.groupBy("sig", "n").count().where(F.col("count") >= dealt_least).select("sig").join(comp_of, "sig").join(sets, "sig"))
-    whole = _several(suspects.mapInArrow(_spread, "token long, sig long, n int, comp long"), "comp")
-    near = staged(whole.withColumn("df", F.count("*").over(Window.partitionBy("token"))).withColumn("shared", F.count("*").over(Window.partitionBy("sig"))).where(F.col("shared") >= overlap))
-    rare = near.withColumn("r", F.row_number().over(Window.partitionBy("sig").orderBy("df", "token"))).where(F.col("r") <= F.col("n") - overlap + 1 - (F.col("n") - F.col("shared")))
-    rare = staged(rare.select("token", "sig", "comp", "n"))
-    sizes = comp_of.groupBy("comp").count()
-    unions = rare.groupBy("token", "comp").count().drop("count").join(sizes, "comp").withColumnsRenamed({"comp": "other", "count": "other_size"})
-    opened = rare.join(sizes, "comp").join(unions, "token").where("other <> comp and (count < other_size or count = other_size and comp < other)").select("sig", "n", "other").distinct()
-    part = near.select("sig", "n", "comp").distinct()
-    pairs = opened.join(part.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other")), "other").where("4 * least(n, m) >= 3 * greatest(n, m)")
-    pairs = pairs.select(F.col("sig").alias("a"), "b").join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("s")), "a").join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("t")), "b")
-    late = pairs.select("a", "b", "s", "t").mapInArrow(_verify, "a long, b long")
+    matrix = _several(asked.select("sig", "n", F.explode("dealt").alias("token")).join(_small(comp_of, n_asked), "sig"), "comp")
+    suspects = staged(matrix.groupBy("sig", "n").count().where(F.col("count") >= dealt_least).select("sig").join(comp_of, "sig"))
+    n_suspects = suspects.count()
+    whole = _several(sets.join(_small(suspects, n_suspects), "sig").mapInArrow(_spread, "token long, sig long, n int, comp long"), "comp")
+    whole = staged(whole.withColumn("df", F.count("*").over(Window.partitionBy("token"))))
+    held = staged(whole.groupBy("sig", "n").agg(F.count("*").alias("shared"), *(F.min(F.xxhash64("token", F.lit(k))).alias(f"g{k}") for k in (7, 8))).where(F.col("shared") >= overlap))
+    n_held = held.count()
+
+    # once more by two other keys, only for what is left
+    keyed = held.select("sig", F.explode(F.array("g7", "g8")).alias("grp")).distinct()
+    edges = staged(edges.unionByName(_round(sets.join(_small(held.select("sig"), n_held), "sig", "left_semi"), keyed, 2 * n_held)))
+    solved = components(edges)
+    comp_of = staged(held.select("sig", "n", "shared").join(solved.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "n", "shared", F.coalesce("comp", "sig").alias("comp")))
+    near = whole.select("token", "sig", "df").join(_small(comp_of, n_held), "sig")
+    again = _several(near, "comp").withColumn("shared", F.count("*").over(Window.partitionBy("sig"))).where(F.col("shared") >= overlap)
+    rare = again.withColumn("r", F.row_number().over(Window.partitionBy("sig").orderBy("df", "token"))).where(F.col("r") <= F.col("shared") - overlap + 1)
+    # groups of similar ones (one key together, as long as a group's size allows), and which of them a query opens
+    groups = max(1, -(-n_held // CHUNK))
+    crowd = staged(held.groupBy("g7").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).where("parts > 1"))
+    placed = held.select("sig", "g7").join(_small(crowd, crowd.count()), "g7", "left")
+    place = F.pmod(F.xxhash64("g7", F.coalesce(F.pmod(F.xxhash64("sig"), F.col("parts")), F.lit(0))), F.lit(groups)).cast("int")
+    placed = staged(placed.select("sig", place.alias("own")))
+    rare = staged(rare.select("token", "sig", "comp").join(_small(placed, n_held), "sig"))
+    unions = rare.groupBy("token", F.col("own").alias("grp")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    opened = rare.join(unions, "token").where("grp >= own and not (lo = comp and hi = comp)").select("sig", "comp", "grp").distinct()
+    holds = rare.select("sig", "comp", F.col("own").alias("grp")).distinct()
+    both = staged(opened.withColumn("query", F.lit(1)).unionByName(holds.withColumn("query", F.lit(0))))
+    asks = both.where("query = 1").groupBy("grp").agg(F.ceil(F.count("*") / (4 * CHUNK)).cast("int").alias("parts"))
+    mine = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda c: (F.col("query") == 0) | (c == F.pmod(F.xxhash64("sig"), F.col("parts"))))
+    both = both.join(F.broadcast(asks), "grp").withColumn("part", F.explode(mine)) if groups <= BROADCAST_ROWS else both.join(asks, "grp").withColumn("part", F.explode(mine))
+    late = sets.join(_small(both, both.count()), "sig").groupBy("grp", "part").applyInArrow(_open, "a long, b long")
     final = components(edges.unionByName(late))
 
     # classes to documents
