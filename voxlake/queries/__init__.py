@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxlake.queries import catalogs, grids, lines, spaces
+from voxlake.queries import catalogs, details, grids, lines, spaces
 from voxlake.queries.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalogs", "grids", "lines", "spaces"]
+__all__ = ["ORACLES", "QUERIES", "catalogs", "details", "grids", "lines", "spaces"]
