@@ -24,7 +24,10 @@ LEAST_SHARE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and texts in which no language holds a fair share of the letters."""
-    named = with_language(docs, learn_languages(docs))
+    model = learn_languages(docs)
+    if not model.languages:  # nothing to tell languages by
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    named = with_language(docs, model)
     return named.where((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
 
 

@@ -12,7 +12,7 @@ The index of items is broadcast in blocks of at most ITEM_ROWS shingles; a large
 documents. Words are runs of letters and digits, lower-cased.
 
 Defined results: null and short texts and rows without doc_id match nothing; items of fewer than five words name nothing and match nothing;
-repeated items are reported each; one row for each document and item (best window, then least start).
+rows that repeat an item_id are texts of one item; one row for each document and item (best window, then least start).
 """
 
 from __future__ import annotations
@@ -72,7 +72,9 @@ def contamination(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -
     docs = docs_of(docs)
     shingled = docs.select("doc_id", words_of(F.col("text")).alias("w")).select("doc_id", shingles_of("w").alias("h"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    items = items.withColumn("w", words_of(F.col("text"))).select("item_id", shingles_of("w").alias("h")).where(F.size("h") > 0)
+    items = items.dropDuplicates(["item_id", "text"]).withColumn("key", F.xxhash64("item_id", "text"))
+    names = staged(items.select("item_id", "key"))
+    items = items.withColumn("w", words_of(F.col("text"))).select(F.col("key").alias("item_id"), shingles_of("w").alias("h")).where(F.size("h") > 0)
     items = staged(items.withColumn("m", F.size("h")).withColumn("print", simhash(F.col("h"))))
 
     # what each item weighs: (shingle, times, weight)
@@ -116,5 +118,6 @@ def contamination(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -
     window = F.size("win") + add(lambda e: (e["w"] - 1) * e["n"])
     item = add(lambda e: e["w"] * e["tf"])
     scored = pairs.select("doc_id", "item_id", "start", "m", (both / (window + item - both)).alias("similarity")).where(F.col("similarity") >= similar - 1e-9)
+    scored = scored.withColumnRenamed("item_id", "key").join(names, "key")
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "m")).alias("b"))
     return best.select("doc_id", "item_id", F.round("b.similarity", 6).alias("similarity"), (-F.col("b.back")).cast("long").alias("start_word"), (F.col("b.m") + SHINGLE - 1).cast("long").alias("n_words"))

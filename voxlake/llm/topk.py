@@ -9,7 +9,7 @@ compacted. Every part gives its k best for each query; a second ranking merges t
 Queries meet each part of the candidates once, as a block: the stated query set goes against all rows, and a block of
 queries has a fixed number of rows, so a task holds one part and one block whatever the table's size.
 
-Defined results: vectors that are null or hold null or non-finite components take no part; shorter vectors count as
+Defined results: scores must fit in 64 bits; vectors that are null or hold null or non-finite components take no part; shorter vectors count as
 padded with zeros; rows without an id take no part; ties go to the smaller id; fewer candidates than k give fewer rows.
 """
 
