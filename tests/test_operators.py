@@ -65,6 +65,17 @@ def test_region_and_coords(spark):
         catalog.parse_coords(spark.createDataFrame([("1,2",)], "value string"), "main").collect()
 
 
+def test_exact_quantiles(spark):
+    from voxlake.operators.histogram import order_values, quantiles
+
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.lognormal(0, 2, 3000), np.full(2000, 1.5)])
+    df = spark.createDataFrame(pd.DataFrame({"v": v}))
+    assert np.allclose(quantiles(df, "v", 0.0, 0.01, 0.5, 0.99, 1.0), np.percentile(v, [0, 1, 50, 99, 100]))
+    assert order_values(df, "v", [0, 2500, 4999], bins=8, few=10) == {r: np.sort(v)[r] for r in (0, 2500, 4999)}
+    assert quantiles(df.limit(0), "v", 0.5) == [None]
+
+
 def test_names(spark):
     row = spark.range(1).select(names.pretty_name(F.lit("0172Cr3")), names.voxel_um(F.lit("a 7.91 UM x")), names.master_seed(F.lit("a"), F.lit("b")), names.duration_text(F.lit(3725))).first()
     assert tuple(row) == ("172 Cr 3", 7.91, 3497157185, "1h02m05s")

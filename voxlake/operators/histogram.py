@@ -10,10 +10,48 @@ def scaled(value: Column, low: Column, high: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / F.greatest(high - low, F.lit(1e-3))))
 
 
+def order_values(df: DataFrame, value: str, ranks: list[int], bins: int = 4096, few: int = 10_000) -> dict[int, float]:
+    """The values at the given ranks (from 0) of a column without nulls, exactly.
+
+    A histogram of `bins` counts narrows each rank down to one bin, again and again, until a bin has few values or only
+    one; only counts and the few values reach the driver, and no task holds the distinct values of the column.
+    """
+    v = F.col(value).cast("double")
+    n, low, high = df.agg(F.count("*"), F.min(v), F.max(v)).first()
+    if n == 0:
+        return {}
+    if low == high:
+        return dict.fromkeys(ranks, low)
+    if n <= few:
+        ordered = sorted(r[0] for r in df.select(v).collect())
+        return {r: ordered[r] for r in ranks}
+    bin_of = F.least(F.lit(bins - 1), F.floor((v - low) / (high - low) * bins)).cast("int")
+    counts = sorted(map(tuple, df.groupBy(bin_of.alias("b")).count().collect()))
+    out: dict[int, float] = {}
+    before = 0
+    for b, c in counts:
+        inside = [r for r in ranks if before <= r < before + c]
+        if inside:
+            out |= {r + before: x for r, x in order_values(df.where(bin_of == b), value, [r - before for r in inside], bins, few).items()}
+        before += c
+    return out
+
+
+def quantiles(df: DataFrame, value: str, *fractions: float) -> list[float | None]:
+    """Quantiles with linear interpolation between neighbouring ranks; None for a column without values."""
+    df = df.where(F.col(value).isNotNull())
+    n = df.count()
+    if not n:
+        return [None] * len(fractions)
+    places = [f * (n - 1) for f in fractions]
+    found = order_values(df, value, sorted({r for p in places for r in (int(p), min(int(p) + 1, n - 1))}))
+    return [found[int(p)] + (p - int(p)) * (found[min(int(p) + 1, n - 1)] - found[int(p)]) for p in places]
+
+
 def percentile_scaled(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99, into: str = "scaled") -> DataFrame:
-    """value between its own percentiles, clipped to 0..1. The two numbers come from one aggregate row."""
-    ends = df.agg(F.percentile(value, F.lit(low)).alias("_lo"), F.percentile(value, F.lit(high)).alias("_hi"))
-    return df.crossJoin(F.broadcast(ends)).withColumn(into, scaled(F.col(value), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    """value between its own percentiles, clipped to 0..1."""
+    ends = quantiles(df, value, low, high)
+    return df.withColumn(into, scaled(F.col(value), F.lit(ends[0]).cast("double"), F.lit(ends[1]).cast("double")))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 256, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxlake.operators import corpus, grids, sampling
+from voxlake.operators.histogram import quantiles
 from voxlake.queries.grids import PLANE, VOX
 from voxlake.queries.registry import query
 from voxlake.sources.tables import plane, table, voxels
@@ -138,7 +139,8 @@ SELECT round(quantile_cont(l_extendedprice, 0.005), 2) AS p005, round(quantile_c
        round(avg(l_extendedprice), 2) AS mean, round(stddev_samp(l_extendedprice), 2) AS spread FROM lineitem""")
 def norm_params(spark: SparkSession, sf: str) -> DataFrame:
     v = "l_extendedprice"
-    return table(spark, sf, "lineitem").agg(F.round(F.percentile(v, F.lit(0.005)), 2).alias("p005"), F.round(F.percentile(v, F.lit(0.995)), 2).alias("p995"), F.round(F.avg(v), 2).alias("mean"), F.round(F.stddev_samp(v), 2).alias("spread"))
+    low, high = (F.round(F.lit(q).cast("double"), 2) for q in quantiles(table(spark, sf, "lineitem"), v, 0.005, 0.995))
+    return table(spark, sf, "lineitem").agg(F.max(low).alias("p005"), F.max(high).alias("p995"), F.round(F.avg(v), 2).alias("mean"), F.round(F.stddev_samp(v), 2).alias("spread"))
 
 
 @query("""

@@ -72,9 +72,9 @@ WITH {VOX}, t AS (SELECT quantile_cont(v, 0.55) AS t FROM vox)
 SELECT z, round(avg((v > t)::INTEGER), 6) AS fraction FROM vox, t WHERE y < 32 AND x >= 16 AND x < 48 GROUP BY z""")
 def material_frac(spark: SparkSession, sf: str) -> DataFrame:
     v = voxels(spark, sf)
-    cut = v.agg(F.percentile("v", F.lit(0.55)).alias("t"))
-    inside = grids.box(v, y=(0, 32), x=(16, 48)).crossJoin(F.broadcast(cut))
-    return inside.groupBy("z").agg(F.round(F.avg((F.col("v") > F.col("t")).cast("double")), 6).alias("fraction"))
+    cut = histogram.quantiles(v, "v", 0.55)[0]
+    inside = grids.box(v, y=(0, 32), x=(16, 48))
+    return inside.groupBy("z").agg(F.round(F.avg((F.col("v") > F.lit(cut)).cast("double")), 6).alias("fraction"))
 
 
 @query(f"WITH {VOX} SELECT z, y, x, v FROM vox WHERE z >= 3 AND z < 9 AND y >= 10 AND y < 40 AND x >= 0 AND x < 20")
