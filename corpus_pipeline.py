@@ -15,7 +15,7 @@ from voxlake.llm.jaccard_join import jaccard_components
 from voxlake.llm.language import UND, learn_languages, with_language
 from voxlake.llm.packing import pack_documents
 from voxlake.llm.secrets import redact_secrets
-from voxlake.llm.sieve import only_maybe, sieve
+from voxlake.llm.sieve import only_maybe
 from voxlake.llm.tokens import vocabulary
 
 #: Share of a text's letters that its language must hold.
@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps of each group of near duplicates the document of least id."""
     found = jaccard_components(docs)
     gone = staged(found.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct())
-    maybe, stay = only_maybe(docs, sieve(gone, "doc_id", gone.count()), F.col("doc_id"))
+    maybe, stay = only_maybe(docs, "doc_id", gone, "doc_id", gone.count())
     return stay.unionByName(maybe.join(gone, "doc_id", "left_anti").select(*docs.columns))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -40,6 +43,7 @@ def staged(df: DataFrame) -> DataFrame:
 
 def docs_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and text, under fixed names, so that no other column can clash; null text counts as empty."""
+    bounded_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
@@ -64,5 +68,41 @@ def pieces(batch: pa.RecordBatch, rows: int = 2000, mb: int = 16, name: str = "t
         at = end
 
 
+#: Rows of an Arrow batch that goes to Python: texts are long, and a batch is held on both sides at once.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to BATCH_ROWS, where it is larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Gives freed memory of this worker back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+_CACHE: dict = {}
+
+
+def cached(key: object, make):
+    """make(), once for each worker process, so that later tasks find what earlier ones have learned.
+
+    A worker holds one such object: another key drops the one before, which keeps a chain of operators within the memory
+    of its largest.
+    """
+    if key not in _CACHE:
+        _CACHE.clear()
+        release()
+        _CACHE[key] = make()
+    return _CACHE[key]
+
+
 def empty(schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)

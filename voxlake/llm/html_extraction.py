@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.llm.boosting import boost, predict_tree
-from voxlake.llm.common import empty, pieces
+from voxlake.llm.common import bounded_batches, empty, pieces
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -330,6 +330,7 @@ _TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.s
 
 def extract_main_text(pages_df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text) of every row."""
+    bounded_batches(pages_df.sparkSession)
     odds, bias, trees = model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

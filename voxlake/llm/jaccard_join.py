@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from voxlake.llm.common import byte_texts, docs_of, empty, pieces, staged
 from voxlake.llm.components import components
-from voxlake.llm.sieve import only_maybe, sieve
+from voxlake.llm.sieve import only_maybe
 from voxlake.llm.substring_dedup import _shared_hashes, rolling
 
 SHINGLE, CHUNK, PIVOTS = 5, 2000, 16
@@ -243,7 +243,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     asked = dealt.groupBy("sig", "n").agg(F.collect_set("token").alias("dealt")).where(F.size("dealt") >= dealt_least)
     asked = staged(asked.join(firsts, "sig"))
     n_asked = asked.count()
-    mine, _ = only_maybe(docs, sieve(asked, "first", n_asked), F.col("doc_id"))
+    mine, _ = only_maybe(docs, "doc_id", asked, "first", n_asked)
     texts = mine.join(_small(asked.select(F.col("first").alias("doc_id"), "sig"), n_asked), "doc_id").select("doc_id", "text", "sig")
     sets = staged(texts.mapInArrow(_sets, "sig long, tokens binary"))
 

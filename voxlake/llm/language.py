@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import empty, pieces
+from voxlake.llm.common import bounded_batches, cached, empty, pieces, release
 from voxlake.llm.quality import held_out
 
 UND = "und"
@@ -28,7 +28,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Script ranges: first code points of blocks of letters, by script (fixed values).
 SCRIPTS = ((0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "syriac"), (0x900, "indic"), (0xE00, "thai"), (0xE80, "lao"), (0xF00, "tibetan"), (0x1000, "myanmar"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x13A0, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "han"), (0xAC00, "hangul"), (0xD7B0, "han"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"), (0x20000, "han"), (0x30000, "other"))
 _STARTS = np.array([s for s, _ in SCRIPTS])
-CACHE, LONGEST = 400_000, 40
+CACHE, LONGEST = 250_000, 40
 
 
 def script_of(word: str) -> str:
@@ -101,6 +101,10 @@ class WordScores(dict):
         self.update(zip(new, range(at, at + len(new))))
 
 
+def _word_scores(model: Model) -> WordScores:
+    return cached((WordScores, *model.languages, hash(model.table.tobytes())), lambda: WordScores(model))
+
+
 def viterbi(e: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
     """Labels of the words of concatenated texts; e: scores (word, language); longest texts advance alone at last."""
     k = e.shape[1]
@@ -127,7 +131,7 @@ def viterbi(e: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
         v -= v.max(1, keepdims=True)
     if longest:
         final[: len(v)] = v.argmax(1)
-    labels, state = np.zeros(len(e), np.int64), final
+    labels, state = np.zeros(len(e), np.int8), final
     for t in range(longest - 1, -1, -1):
         a = int(active[t])
         at = starts[:a] + t
@@ -184,19 +188,21 @@ def learn_languages(docs: DataFrame, texts_each: int = 300) -> Model:
 
 def with_language(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
     """docs with lang_pred, score and lang_spans array<struct<lang, first_word, n_words>> appended."""
+    bounded_batches(docs.sparkSession)
     clash = {"lang_pred", "score", "lang_spans"} & set(docs.columns)
     docs = docs.drop(*clash)
     at = docs.columns.index("text")
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, lang_pred string, score double, lang_spans array<struct<lang: string, first_word: long, n_words: long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(model) if model.languages else None
+        scores = _word_scores(model) if model.languages else None
         for whole in batches:
-            for batch in pieces(whole, 10_000, 32):
+            for batch in pieces(whole, 2500, 8):
                 texts = [t or "" for t in batch.column(at).to_pylist()]
                 found = _predict(texts, scores, penalty) if scores is not None else ([UND] * len(texts), [0.0] * len(texts), [[]] * len(texts))
                 new = [pa.array(c, f.type) for c, f in zip(found, _LANGS)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema=pa.schema([*batch.schema, *_LANGS]))
+        release()
 
     return docs.mapInArrow(run, schema)
 

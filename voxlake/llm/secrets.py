@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import docs_of, empty, pieces
+from voxlake.llm.common import bounded_batches, cached, docs_of, empty, pieces
 
 KINDS = ("assign", "access", "hex", "random")
 #: Fixed values of the base patterns.
@@ -81,7 +81,7 @@ def find_secrets(docs: DataFrame, path: str, ratio: float = 2.0) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = Scanner(path, ratio)
+        scan = cached((Scanner, path, ratio), lambda: Scanner(path, ratio))
         yield empty(_SPANS)
         for whole in batches:
             for batch in pieces(whole):
@@ -101,11 +101,12 @@ def redact_secrets(docs: DataFrame, path: str, ratio: float = 2.0, mask: str = "
 
     All columns and rows stay; `n_chars`, where there is one, becomes the new length of changed texts.
     """
+    bounded_batches(docs.sparkSession)
     schema = docs.schema
     at = schema.fieldNames().index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = Scanner(path, ratio)
+        scan = cached((Scanner, path, ratio), lambda: Scanner(path, ratio))
         for whole in batches:
             for batch in pieces(whole):
                 texts = batch.column(at).to_pylist()

@@ -1,45 +1,26 @@
 """A set of ids as a bitmap of bounded size, for telling early which rows cannot matter to a join.
 
 The bitmap never decides a result: rows that it lets through still meet the join. Its size follows the set up to a fixed
-bound; beyond it more rows pass in vain and the join does the work.
+bound; beyond it more rows pass in vain and the join does the work. The bitmap is a table of 64-bit words that is broadcast,
+so the test is a hash join inside the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: 4 MB at most.
+#: 524,288 words, about 20 MB as a table.
 MOST_BITS = 1 << 25
 
 
-def sieve(ids: DataFrame, column: str, rows: int, most_bits: int = MOST_BITS):
-    """A function Column -> Column: false only where a value is surely not in ids.column. rows: about their number."""
+def only_maybe(df: DataFrame, column: str, ids: DataFrame, id_column: str, rows: int, most_bits: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
+    """(rows of df that may be in ids, rows that surely are not). rows: the number of ids, about."""
     bits = 1 << 12
     while bits < min(most_bits, 16 * rows):
         bits *= 2
-    cell = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))
-    words = ids.select(cell.alias("cell")).groupBy(F.floor(F.col("cell") / 32).cast("long").alias("word"))
-    found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(cell % 32 as int))")).alias("bits")).toPandas()
-    bitmap = np.zeros(bits // 32, np.uint32)
-    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
-    shared = ids.sparkSession.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def passes(cells: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = shared.value
-        for c in cells:
-            at = c.to_numpy()
-            yield pd.Series((table[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool)
-
-    return lambda c: passes(F.pmod(F.xxhash64(c.cast("long")), F.lit(bits)))
-
-
-def only_maybe(df: DataFrame, test, column: Column) -> tuple[DataFrame, DataFrame]:
-    """(rows that may be in the set, rows that surely are not)."""
-    marked = df.withColumn("_maybe", test(column))
-    return marked.where("_maybe").drop("_maybe"), marked.where("not _maybe").drop("_maybe")
+    cell = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    words = ids.select(cell(id_column).alias("_cell")).groupBy(F.shiftright("_cell", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_cell % 64 as int)))").alias("_bits"))
+    words = F.broadcast(words)
+    hit = (F.shiftright(cell(column), 6) == F.col("_word")) & (F.col("_bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (cell(column) % 64).cast("int"))) != 0)
+    return df.join(words, hit, "left_semi"), df.join(words, hit, "left_anti")

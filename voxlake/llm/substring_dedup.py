@@ -25,7 +25,6 @@ doc_id are each returned, and share the spans found for it.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import ahocorasick
@@ -35,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import byte_texts, docs_of, empty, pieces, staged
-from voxlake.llm.sieve import only_maybe, sieve
+from voxlake.llm.common import byte_texts, cached, docs_of, empty, pieces, staged
+from voxlake.llm.sieve import only_maybe
 
 WINDOW, GRAM = 20, 6
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -52,10 +51,8 @@ class _Hashes(dict):
         return value
 
 
-@functools.lru_cache(maxsize=1)
 def _shared_hashes() -> _Hashes:
-    """One for each worker process."""
-    return _Hashes()
+    return cached(_Hashes, _Hashes)
 
 
 def rolling(x: np.ndarray, k: int) -> np.ndarray:
@@ -293,9 +290,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
     docs = docs_of(docs)
     scanned = staged(docs.mapInArrow(_scan(window, gram), "anchor long, doc_id long, lo int, n int, inside boolean"))
     near = Window.partitionBy("anchor").orderBy("doc_id", "lo")
-    runs = scanned.where("not inside").drop("inside").withColumn("before", F.lag("lo").over(near)).withColumn("after", F.lead("lo").over(near))
-    runs = staged(runs.where("before is not null or after is not null").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("runs")))
-    asked, _ = only_maybe(docs, sieve(runs, "doc_id", runs.count()), F.col("doc_id"))
+    lone = scanned.where(F.col("kind").isin(RUN, WITNESS)).withColumn("before", F.lag("lo").over(near)).withColumn("after", F.lead("lo").over(near))
+    lone = lone.where(F.col("kind") == RUN).where("before is not null or after is not null").select("doc_id", "anchor", "lo", "n")
+    runs = lone.unionByName(scanned.where(F.col("kind") == KNOWN).select("doc_id", "anchor", "lo", "n"))
+    runs = staged(runs.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("runs")))
+    asked, _ = only_maybe(docs, "doc_id", runs, "doc_id", runs.count())
     regions = staged(asked.join(runs, "doc_id").mapInArrow(_cut(window), "anchor long, key binary, doc_id long, lo int, words binary"))
     distinct = staged(regions.groupBy("anchor", "key").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("copies"), F.any_value("words").alias("words")).select("anchor", "key", "first.doc_id", "first.lo", "copies", "words"))
     shards = max(1, -(-distinct.count() // shard_regions))
@@ -311,6 +310,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
     copies = keyed.join(firsts, ["a", "b", "c"]).where("doc_id > first").select("doc_id")
     marks = spans.unionByName(inside).withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
     marks = staged(marks.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"), F.bool_or("copy").alias("copy")))
-    changed, whole = only_maybe(docs, sieve(marks, "doc_id", marks.count()), F.col("doc_id"))
+    changed, whole = only_maybe(docs, "doc_id", marks, "doc_id", marks.count())
     schema = "doc_id long, n_words long, n_removed long, kept_text string"
     return changed.join(marks, "doc_id", "left").mapInArrow(_remove(window, True), schema).unionAll(whole.mapInArrow(_remove(window, False), schema))

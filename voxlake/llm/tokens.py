@@ -8,7 +8,6 @@ classes differ between Unicode versions is cut by the library's own pre-tokenize
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import os
@@ -20,9 +19,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from voxlake.llm.common import docs_of, empty, pieces
+from voxlake.llm.common import cached, docs_of, empty, pieces
 
-CACHE, LONG = 900_000, 64
+CACHE, LONG = 500_000, 64
 #: Beyond these characters the pattern engines may follow different Unicode versions.
 _NEWER = regex.compile("[^\\x00-\u0557]")
 _LATIN = re.compile("[^\\x00-\u012f\u0131-\u017f]")
@@ -179,12 +178,9 @@ class WordIds(dict):
         return [b"".join(map(lookup, words)) if words is not None else array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes() for t, words in zip(texts, plain)]
 
 
-@functools.lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    """One for each worker process, so that what it learned serves later tasks."""
-    return WordIds(path)
+    return cached((WordIds, path), lambda: WordIds(path))
 
 
-@functools.lru_cache(maxsize=2)
 def token_counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
+    return cached((TokenCounter, path), lambda: TokenCounter(path))
