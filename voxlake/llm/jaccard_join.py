@@ -5,7 +5,8 @@ component. Similar documents are partitioned into groups, each group's token uni
 (the matrix), the overlap of a query with the groups is bounded from the matrix, and only qualifying groups are opened.
 
 1. Equal sets become one class (rows carry the class, not the document), so copies cost nothing further.
-2. Of every class the n - ceil(0.75 n) + l(n) tokens of least hash are dealt by token. Linked sets share at least
+2. Of every class the n - ceil(0.75 n) + l(n) tokens of least hash are dealt by token (tokens that two classes of a batch hold
+   are known to be shared and send two witnesses only, so no token gathers rows without bound). Linked sets share at least
    min(l) of these, so a class with fewer tokens that any other class holds has no link and leaves.
 3. The rest fetch their whole sets and are grouped by their least shared token. A group is opened and solved exactly in
    memory: a query from outside the largest component is compared with all members by an inverted index, until no two
@@ -86,7 +87,9 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(_class_of, sets)), pa.int64())], schema=_CLASSES)
 
 
-_DEALT = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int32())])
+#: Kinds of dealt rows: a token of a class; one that two classes of the batch hold; such a token's two witnesses.
+ROW, KNOWN, WITNESS = range(3)
+_DEALT = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("kind", pa.int32())])
 
 
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +107,18 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(n)
         if tokens:
             repeat = list(map(len, tokens))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(sigs, repeat)), pa.array(np.repeat(np.array(sizes, np.int32), repeat))], schema=_DEALT)
+            token, sig, n = np.concatenate(tokens).view(np.int64), np.repeat(sigs, repeat), np.repeat(np.array(sizes, np.int32), repeat)
+            order = np.argsort(token, kind="stable")  # a class holds a token once, so neighbours are of two classes
+            same = token[order][1:] == token[order][:-1]
+            many = np.r_[same, False] | np.r_[False, same]
+            head = np.r_[same, False] & ~np.r_[False, same]
+            first = order[head]
+            second = order[np.flatnonzero(head) + 1]
+            kind = np.zeros(len(token), np.int32)
+            kind[order[many]] = KNOWN
+            pick = np.r_[np.arange(len(token)), first, second]
+            kind = np.r_[kind, np.full(2 * len(first), WITNESS, np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(token[pick]), pa.array(sig[pick]), pa.array(n[pick]), pa.array(kind)], schema=_DEALT)
 
 
 _SETS = pa.schema([("sig", pa.int64()), ("tokens", pa.binary())])
@@ -239,7 +253,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     dealt_least = F.greatest(F.lit(1), F.floor(2 * overlap / 25).cast("int"))
 
     # classes that may have a link
-    dealt = _several(docs.mapInArrow(_deal, "token long, sig long, n int"), "sig")
+    spread = docs.mapInArrow(_deal, "token long, sig long, n int, kind int")
+    # a token that many hold comes as two witnesses of each batch; rows known to share theirs are dealt anywhere
+    lone = F.when(F.col("kind") == KNOWN, F.xxhash64("token", "sig")).otherwise(F.col("token"))
+    dealt = spread.withColumn("at", lone)
+    w = Window.partitionBy("at")
+    dealt = dealt.withColumn("_lo", F.min("sig").over(w)).withColumn("_hi", F.max("sig").over(w))
+    dealt = dealt.where((F.col("kind") == KNOWN) | (F.col("kind") == ROW) & (F.col("_lo") != F.col("_hi")))
     asked = dealt.groupBy("sig", "n").agg(F.collect_set("token").alias("dealt")).where(F.size("dealt") >= dealt_least)
     asked = staged(asked.join(firsts, "sig"))
     n_asked = asked.count()
