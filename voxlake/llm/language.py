@@ -175,8 +175,11 @@ _LANGS = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("lang_
 def learn_languages(docs: DataFrame, texts_each: int = 300) -> Model:
     """A model from at most texts_each texts of each language outside the held-out third, in hash order."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("known")).where("known is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    order = Window.partitionBy("known").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts_each).select("doc_id").distinct()
+    salted = known.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    for keys in (("known", "salt"), ("known",)):  # a language of most rows is cut down in parts first
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        salted = salted.withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts_each)
+    ids = salted.select("doc_id").distinct()
     ids = [r[0] for r in ids.collect()]  # languages x texts_each numbers at most
     frame = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("known"), F.col("text").cast("string").alias("text")).where("known is not null and text is not null").join(F.broadcast(frame), "doc_id", "left_semi").select("known", "text")
