@@ -7,7 +7,8 @@ Plan, every step linear in the input:
 1. each document is cut at content-defined anchors: every window picks the k-word gram of least hash in it, so equal
    windows pick equal anchors; neighbouring windows with one anchor form a run (one row for about eight words). Windows
    that repeat an earlier one of their own document are settled at once;
-2. runs whose anchor occurs nowhere else are dropped (one shuffle on the anchor);
+2. runs whose anchor occurs nowhere else are dropped (one shuffle on the anchor; runs whose anchor recurs within a batch
+   are settled there and send one witness, so a passage that a third of the documents share stays a few rows);
 3. the surviving runs fetch their words; equal runs are pre-aggregated to (words, first place, number);
 4. runs are sharded by anchor. A shard confirms the recurring windows, joins neighbouring ones with neighbouring first
    places to phrases, compiles the phrases into a pyahocorasick automaton over word numbers and streams its runs through
@@ -39,6 +40,7 @@ from voxlake.llm.sieve import only_maybe
 
 WINDOW, GRAM = 20, 6
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_MULT), -1, 1 << 64))
 
 
 class _Hashes(dict):
@@ -60,10 +62,21 @@ def rolling(x: np.ndarray, k: int) -> np.ndarray:
     n = len(x) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    r = np.zeros(n, np.uint64)
-    for j in range(k):
-        r *= _MULT
-        r += x[j : j + n]
+    if k <= 3:
+        r = np.zeros(n, np.uint64)
+        for j in range(k):
+            r *= _MULT
+            r += x[j : j + n]
+    else:  # differences of prefix sums, modulo 2^64; the multiplier is odd, so its powers have inverses
+        powers = np.full(len(x), _MULT, np.uint64)
+        powers[0] = 1
+        np.multiply.accumulate(powers, out=powers)
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(x * powers, out=sums[1:])
+        r = sums[k:] - sums[:-k]
+        inverse = np.full(n, _INVERSE, np.uint64)
+        inverse[0] = 1
+        r *= np.multiply.accumulate(inverse, out=inverse)
     r ^= r >> np.uint64(31)
     r *= np.uint64(0xBF58476D1CE4E5B9)
     r ^= r >> np.uint64(29)
@@ -130,7 +143,14 @@ def runs_of(hashes: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tu
     return (grams[at[place[first]]], owner[first], local[first], many), (owner[begin], local[begin], long)
 
 
-_RUNS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("inside", pa.bool_())])
+#: Kinds of scanned rows: a run; a run whose anchor recurs among the documents at hand; such an anchor once, as a witness
+#: for runs elsewhere; windows that repeat earlier ones of their document; a whole text (its 128-bit hash in three columns).
+RUN, KNOWN, WITNESS, INSIDE, TEXT = range(5)
+_RUNS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("kind", pa.int32())])
+
+
+def _rows(anchor: np.ndarray, doc: np.ndarray, lo: np.ndarray, n: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip((anchor, doc, lo, n, kind), _RUNS)], schema=_RUNS)
 
 
 def _scan(window: int, gram: int):
@@ -138,9 +158,12 @@ def _scan(window: int, gram: int):
         cache, seen = _shared_hashes(), {}
         for whole in batches:
             for batch in pieces(whole):
-                ids, arrays = [], []
+                ids, arrays, every, keys = [], [], [], []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), byte_texts(batch)):
                     key = xxhash.xxh3_128_digest(text)
+                    if doc is not None:
+                        every.append(doc)
+                        keys.append(key)
                     if doc is None or seen.get(key, doc + 1) <= doc:
                         continue  # an earlier copy of this text has gone through
                     if len(seen) < 500_000:
@@ -149,13 +172,18 @@ def _scan(window: int, gram: int):
                     if len(words) >= window:
                         ids.append(doc)
                         arrays.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
+                parts = np.frombuffer(b"".join(keys), "<i4").reshape(-1, 4)
+                yield _rows(np.ascontiguousarray(parts[:, :2]).view("<i8").ravel(), np.array(every, np.int64), parts[:, 2], parts[:, 3], np.full(len(every), TEXT))
                 if not ids:
                     continue
                 docs = np.array(ids)
                 (anchor, owner, lo, n), (owner2, lo2, n2) = runs_of(np.concatenate(arrays), np.array(list(map(len, arrays))), window, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(docs[owner]), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.zeros(len(lo), bool))], schema=_RUNS)
-                if len(lo2):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(lo2), np.int64)), pa.array(docs[owner2]), pa.array(lo2.astype(np.int32)), pa.array(n2.astype(np.int32)), pa.array(np.ones(len(lo2), bool))], schema=_RUNS)
+                anchor = anchor.view(np.int64)
+                found, first, which, times = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
+                yield _rows(anchor, docs[owner], lo, n, np.where(times[which] > 1, KNOWN, RUN))
+                seen_here = first[times > 1]
+                yield _rows(anchor[seen_here], docs[owner[seen_here]], lo[seen_here], n[seen_here], np.full(len(seen_here), WITNESS))
+                yield _rows(np.zeros(len(lo2), np.int64), docs[owner2], lo2, n2, np.full(len(lo2), INSIDE))
 
     return scan
 
@@ -179,6 +207,29 @@ def _cut(window: int):
     return cut
 
 
+def _single(window: int):
+    """Runs as one run for each window; a window's hash becomes its anchor."""
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, lo, region in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lo", "words"))):
+                words = region.split(b" ")
+                for j in range(len(words) - window + 1):
+                    part = b" ".join(words[j : j + window])
+                    rows.append((xxhash.xxh3_64_intdigest(part) - (1 << 63), xxhash.xxh3_128_digest(part), doc, lo + j, part))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _REGIONS)], schema=_REGIONS)
+
+    return single
+
+
+def _distinct(regions: DataFrame) -> DataFrame:
+    """Equal runs as one, with their first place and number."""
+    same = regions.groupBy("anchor", "key").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("copies"), F.any_value("words").alias("words"))
+    return same.select("anchor", "key", "first.doc_id", "first.lo", "copies", "words")
+
+
 _PHRASE = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("doc", pa.int64()), ("first", pa.int32())])
 _FOUND = pa.schema([("anchor", pa.int64()), ("key", pa.binary()), ("phrases", pa.list_(_PHRASE))])
 
@@ -285,10 +336,11 @@ def _remove(window: int, marked: bool):
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_regions: int = 20_000) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of every row of docs; kept words are joined by one space.
 
-    shard_regions: distinct runs in one automaton, about; the number of shards follows the input.
+    shard_regions: distinct runs in one automaton, about; the number of shards follows the input. An anchor with more
+    different surroundings than that is split into its windows.
     """
     docs = docs_of(docs)
-    scanned = staged(docs.mapInArrow(_scan(window, gram), "anchor long, doc_id long, lo int, n int, inside boolean"))
+    scanned = staged(docs.mapInArrow(_scan(window, gram), "anchor long, doc_id long, lo int, n int, kind int"))
     near = Window.partitionBy("anchor").orderBy("doc_id", "lo")
     lone = scanned.where(F.col("kind").isin(RUN, WITNESS)).withColumn("before", F.lag("lo").over(near)).withColumn("after", F.lead("lo").over(near))
     lone = lone.where(F.col("kind") == RUN).where("before is not null or after is not null").select("doc_id", "anchor", "lo", "n")
@@ -296,18 +348,23 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
     runs = staged(runs.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("runs")))
     asked, _ = only_maybe(docs, "doc_id", runs, "doc_id", runs.count())
     regions = staged(asked.join(runs, "doc_id").mapInArrow(_cut(window), "anchor long, key binary, doc_id long, lo int, words binary"))
-    distinct = staged(regions.groupBy("anchor", "key").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("copies"), F.any_value("words").alias("words")).select("anchor", "key", "first.doc_id", "first.lo", "copies", "words"))
+    distinct = staged(_distinct(regions))
+    crowded = staged(distinct.groupBy("anchor").count().where(F.col("count") > shard_regions).select("anchor"))
+    if crowded.count():  # too many surroundings of one anchor for a shard: its windows go on by themselves
+        single = staged(regions.join(crowded, "anchor").mapInArrow(_single(window), regions.schema))
+        regions = staged(regions.join(crowded, "anchor", "left_anti").unionByName(single))
+        distinct = staged(distinct.join(crowded, "anchor", "left_anti").select(*distinct.columns).unionByName(_distinct(single)))
     shards = max(1, -(-distinct.count() // shard_regions))
     found = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard")
     found = found.applyInArrow(_locate(window), "anchor long, key binary, phrases array<struct<at: int, n: int, doc: long, first: int>>").where(F.size("phrases") > 0)
     places = regions.select("anchor", "key", "doc_id", "lo").join(found, ["anchor", "key"])
     later = F.filter("phrases", lambda p: (p["doc"] < F.col("doc_id")) | ((p["doc"] == F.col("doc_id")) & (p["first"] < F.col("lo") + p["at"])))
     spans = places.select("doc_id", F.transform(later, lambda p: F.struct((p["at"] + F.col("lo")).alias("lo"), p["n"].alias("n"))).alias("spans")).where(F.size("spans") > 0)
-    inside = scanned.where("inside").select("doc_id", F.array(F.struct("lo", "n")).alias("spans"))
+    inside = scanned.where(F.col("kind") == INSIDE).select("doc_id", F.array(F.struct("lo", "n")).alias("spans"))
     # whole texts that an earlier document has too
-    keyed = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("a"), F.crc32("text").alias("b"), F.length("text").alias("c"))
-    firsts = keyed.groupBy("a", "b", "c").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    copies = keyed.join(firsts, ["a", "b", "c"]).where("doc_id > first").select("doc_id")
+    keyed = scanned.where(F.col("kind") == TEXT)
+    firsts = keyed.groupBy("anchor", "lo", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    copies = keyed.join(firsts, ["anchor", "lo", "n"]).where("doc_id > first").select("doc_id")
     marks = spans.unionByName(inside).withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
     marks = staged(marks.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"), F.bool_or("copy").alias("copy")))
     changed, whole = only_maybe(docs, "doc_id", marks, "doc_id", marks.count())
