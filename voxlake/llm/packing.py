@@ -163,7 +163,7 @@ def _encode(path: str, size: int, keep_ids: bool):
         schema = _PIECES if keep_ids else pa.schema(list(_PIECES)[:-1])
         yield empty(schema)
         for whole in batches:
-            for batch in pieces(whole, 1000, 8):
+            for batch in pieces(whole, 2000, 16):
                 rows = []
                 for doc, data in zip(batch.column("doc_id").to_pylist(), ids_of.encode_batch(batch.column("text").to_pylist())):
                     data += end
