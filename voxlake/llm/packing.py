@@ -16,6 +16,7 @@ Defined results: null text counts as empty; a document always ends with the end
 from __future__ import annotations
 
 import bisect
+import gc
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -159,6 +160,7 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 def _encode(path: str, size: int, keep_ids: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # lists of words come and go by the million, and none refers back
         ids_of, end = word_ids(path), END_ID.to_bytes(4, "little")
         schema = _PIECES if keep_ids else pa.schema(list(_PIECES)[:-1])
         yield empty(schema)
@@ -171,6 +173,7 @@ def _encode(path: str, size: int, keep_ids: bool):
                         part = data[at : at + 4 * size]
                         rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(schema)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        gc.enable()
 
     return encode
 
