@@ -6,7 +6,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -292,6 +292,42 @@ def test_contamination(spark, docs, none):
     assert contamination(docs, given).count() == 0 and contamination(none, given).count() == 0 and contamination(docs, given.limit(0)).count() == 0
 
 
+def brute_contamination(docs, items, similar=0.75):
+    """{(doc, item): (similarity, start)} over every window, straight from the definition."""
+    cut = lambda t: [tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(len(w) - 4)]
+    own = {i: Counter(cut(t)) for i, t in items if cut(t)}
+    df = Counter(g for c in own.values() for g in c)
+    out = {}
+    for d, t in docs:
+        grams = cut(t)
+        for i, c in own.items():
+            m, mass = sum(c.values()), sum(n / df[g] for g, n in c.items())
+            for start in range(max(1, len(grams) - m + 1)) if set(grams) & set(c) else ():
+                win = Counter(grams[start : start + m])
+                both = sum(min(n, win[g]) / df[g] for g, n in c.items())
+                whole = sum(n / df[g] if g in c else n for g, n in win.items())
+                s = round(both / (whole + mass - both), 9)
+                if s >= similar - 1e-9 and (round(s, 6), -start) > out.get((d, i), (0, 0)):
+                    out[d, i] = (round(s, 6), -start)
+    return {k: (s, -back) for k, (s, back) in out.items()}
+
+
+def same_contamination(spark, docs, items):
+    want = brute_contamination(docs, items)
+    got = contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in got.collect()} == want
+    return want
+
+
+def test_contamination_of_windows_that_line_nothing_up(spark):
+    rng = random.Random(8)
+    item, short = prose(rng, 60), prose(rng, 4) * 5
+    docs = [(0, " ".join(prose(rng, 70) + item[30:] + item[:30] + prose(rng, 70))), (1, " ".join(item[30:] + item[:30])), (2, " ".join(prose(rng, 9) + short[2:] + short[:2] + short))]
+    docs += [(3, " ".join(item[20:40] + item[:20] + item[40:])), (4, " ".join(prose(rng, 90)))]
+    want = same_contamination(spark, docs, [(0, " ".join(item)), (1, " ".join(short))])
+    assert {(0, 0), (1, 0), (2, 1)} <= set(want)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()

@@ -1,18 +1,26 @@
 """Benchmark decontamination on SimHash windows, in DataFrame functions only.
 
-A document's words are cut into five-word shingles. For every shingle that a benchmark item also has, the window of the
-item's size that lines both up is taken: a window whose weighted-shingle similarity to an item is above zero shares a
-shingle, so no window that matters is missed. Each window gets a 64-bit SimHash of its shingles. Items are indexed by
-BLOCKS blocks of their fingerprint with every value within BLOCK_RADIUS bits: two fingerprints within RADIUS =
-BLOCKS * (BLOCK_RADIUS + 1) - 1 bits agree within BLOCK_RADIUS in some block, so the index returns all items within the
-radius. What it returns is verified by the exact weighted Jaccard similarity of the shingle multisets; a shingle weighs
-1 / (number of items that hold it).
+A document's words are cut into five-word shingles. A document and an item are compared if either of two ways finds them:
+
+* SimHash: for every shingle that a benchmark item also has, the window of the item's size that lines both up gets a
+  64-bit SimHash of its shingles. Items are indexed by BLOCKS blocks of their fingerprint with every value within
+  BLOCK_RADIUS bits: two fingerprints within RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1 bits agree within BLOCK_RADIUS in
+  some block, so the index returns all items within the radius.
+* The exact overlap bound, whatever the fingerprints say: the shingles that the whole document shares with the item must
+  weigh `similar` times the item. Only an item's witnesses look for documents: its shingles without the most common ones
+  that weigh less than that together, since sharing only these cannot do. So no pair is lost to the radius or to windows
+  that line nothing up.
+
+For every pair found, the weighted Jaccard similarity of the shingle multisets is taken over all windows of the item's
+size: it changes only where a shared shingle enters or leaves the window, so running sums over these places give it
+everywhere. A shingle of the item weighs 1 / (number of items that hold it), any other 1. A document shorter than the
+item is one window.
 
 The index of items is broadcast in blocks of at most ITEM_ROWS shingles; a larger benchmark takes more passes over the
 documents. Words are runs of letters and digits, lower-cased.
 
 Defined results: null and short texts and rows without doc_id match nothing; items of fewer than five words name nothing and match nothing;
-rows that repeat an item_id are texts of one item; one row for each document and item (best window, then least start).
+rows that repeat an item_id are texts of one item, rows that repeat a doc_id texts of one document; one row for each document and item (best window, then least start).
 """
 
 from __future__ import annotations
@@ -20,7 +28,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.llm.common import docs_of, staged
@@ -29,6 +37,8 @@ SHINGLE, SIMILAR = 5, 0.75
 BLOCKS, BLOCK_RADIUS = 6, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 BLOCK_BITS = [11, 11, 11, 11, 10, 10]
+#: What sums of weights may lose to rounding, as a share of an item.
+SLACK = 1e-6
 #: Shingles of items that are broadcast at once: about 40 MB.
 ITEM_ROWS = 500_000
 
@@ -69,55 +79,82 @@ def contamination(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -
 
     docs: (doc_id, text); items: (item_id, text).
     """
-    docs = docs_of(docs)
-    shingled = docs.select("doc_id", words_of(F.col("text")).alias("w")).select("doc_id", shingles_of("w").alias("h"))
+    docs = docs_of(docs).where(F.col("doc_id").isNotNull()).withColumn("row", F.xxhash64("doc_id", "text"))
+    shingled = docs.select("row", "doc_id", words_of(F.col("text")).alias("w")).select("row", "doc_id", shingles_of("w").alias("h"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = items.dropDuplicates(["item_id", "text"]).withColumn("key", F.xxhash64("item_id", "text"))
     names = staged(items.select("item_id", "key"))
     items = items.withColumn("w", words_of(F.col("text"))).select(F.col("key").alias("item_id"), shingles_of("w").alias("h")).where(F.size("h") > 0)
     items = staged(items.withColumn("m", F.size("h")).withColumn("print", simhash(F.col("h"))))
 
-    # what each item weighs: (shingle, times, weight)
-    held = items.select("item_id", F.posexplode("h").alias("off", "s"))
-    held_by = held.groupBy("s").agg(F.count_distinct("item_id").alias("df"))
-    parts = held.groupBy("item_id", "s").agg(F.count("*").alias("tf")).join(held_by, "s").groupBy("item_id").agg(F.collect_list(F.struct("s", "tf", (1 / F.col("df")).alias("w"))).alias("parts"))
-    known = staged(items.select("item_id", "m", "print").join(parts, "item_id"))
-    lookup = held.join(items.select("item_id", "m"), "item_id").select("s", "off", "m").distinct()  # items of one size share windows
-    n = lookup.count()
-    passes = max(1, -(-n // ITEM_ROWS))
-
-    starts = None
-    for k in range(passes):
-        block = lookup.where(F.pmod(F.xxhash64("s"), F.lit(passes)) == k) if passes > 1 else lookup
-        hit = shingled.select("doc_id", F.size("h").alias("n"), F.posexplode_outer("h").alias("pos", "s")).join(F.broadcast(block), "s")
-        hit = hit.select("doc_id", "m", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("off"), F.col("n") - F.col("m"))).alias("start"))
-        starts = hit if starts is None else starts.unionAll(hit)
-    starts = staged(starts.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.struct("m", "start")).alias("starts")))
-    texts = docs.join(starts, "doc_id").select("doc_id", "starts", words_of(F.col("text")).alias("w")).select("doc_id", "starts", shingles_of("w").alias("h"))
+    # what each item weighs: (shingle, times, weight), its mass, and whether the shingle is a witness
+    held = items.select("item_id", "m", F.posexplode("h").alias("off", "s"))
+    held_by = held.groupBy("s").agg((1 / F.count_distinct("item_id")).alias("w"))
+    item = Window.partitionBy("item_id")
+    common_first = item.orderBy("w", "s").rowsBetween(Window.unboundedPreceding, 0)
+    weighed = held.groupBy("item_id", "m", "s").agg(F.count("*").alias("tf")).join(held_by, "s").withColumn("mass", F.sum(F.col("w") * F.col("tf")).over(item))
+    weighed = staged(weighed.withColumn("witness", F.sum(F.col("w") * F.col("tf")).over(common_first) >= (similar - SLACK) * F.col("mass")))
+    lookup = held.select("s", "off", "m").distinct()  # items of one size share windows
+    passes = max(1, -(-held.count() // ITEM_ROWS))
+
+    def block(side: DataFrame, k: int) -> DataFrame:
+        return side.where(F.pmod(F.xxhash64("s"), F.lit(passes)) == k) if passes > 1 else side
+
+    def meet(rows: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
+        """rows with what side, of at most as many rows as the items have shingles, says of them."""
+        return reduce(DataFrame.unionAll, [block(rows, k).join(F.broadcast(block(side, k)), on) for k in range(passes)])
+
+    # where documents hold shingles of items
     # (outer explodes: the optimizer would repeat the shingles in a filter for the others, once for each word)
-    windows = texts.select("doc_id", "h", F.explode_outer("starts").alias("x")).select("doc_id", "x.m", "x.start", F.slice("h", F.col("x.start") + 1, F.col("x.m")).alias("win"))
-    windows = staged(windows.dropDuplicates(["doc_id", "m", "start"]).withColumn("print", simhash(F.col("win"))))
+    every = shingled.select("row", "doc_id", F.size("h").alias("n"), F.posexplode_outer("h").alias("pos", "s"))
+    hits = staged(meet(every, held_by.select("s"), ["s"]).groupBy("row", "doc_id", "n", "s").agg(F.sort_array(F.collect_set("pos")).alias("at")))
+
+    # aligned windows
+    starts = meet(hits, lookup, ["s"]).select("row", "n", "m", "off", F.explode("at").alias("pos"))
+    starts = starts.select("row", "m", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("off"), F.col("n") - F.col("m"))).alias("start"))
+    starts = staged(starts.groupBy("row").agg(F.collect_set(F.struct("m", "start")).alias("starts")))
+    texts = docs.join(starts, "row").select("row", "starts", words_of(F.col("text")).alias("w")).select("row", "starts", shingles_of("w").alias("h"))
+    windows = texts.select("row", "h", F.explode_outer("starts").alias("x")).select("row", "x.m", F.slice("h", F.col("x.start") + 1, F.col("x.m")).alias("win"))
+    windows = staged(windows.select("row", "m", simhash(F.col("win")).alias("print")).distinct())
 
     # items within the radius
-    def probed(block: int, bits: int, value: Column) -> DataFrame:
+    def probed(number: int, bits: int, value: Column) -> DataFrame:
         every = F.transform(F.array(*map(F.lit, _probes(bits))), lambda mask: value.bitwiseXOR(mask.cast("long")))
-        return known.select("item_id", "m", F.lit(block).alias("block"), F.explode(every).alias("value"))
+        return items.select("item_id", "m", F.lit(number).alias("block"), F.explode(every).alias("value"))
 
     index = reduce(DataFrame.unionAll, [probed(i, bits, v) for i, (bits, v) in enumerate(zip(BLOCK_BITS, block_values(F.col("print"))))])
-    asked = windows.select("doc_id", "m", "start", "print", F.posexplode(F.array(*block_values(F.col("print")))).alias("block", "value"))
-    index = index.join(known.select("item_id", F.col("print").alias("item_print")), "item_id")
+    asked = windows.select("row", "m", "print", F.posexplode(F.array(*block_values(F.col("print")))).alias("block", "value"))
+    index = index.join(items.select("item_id", F.col("print").alias("item_print")), "item_id")
     near = asked.join(index, ["m", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    near = near.select("doc_id", "m", "start", "item_id").distinct()
-
-    # exact weighted similarity
-    pairs = near.join(windows.drop("print"), ["doc_id", "m", "start"]).join(known.select("item_id", "parts"), "item_id")
-    times = lambda e: F.size(F.filter("win", lambda x: x == e["s"]))
-    add = lambda f: F.aggregate("parts", F.lit(0.0), lambda acc, e: acc + f(e))
-    pairs = pairs.withColumn("parts", F.transform("parts", lambda e: F.struct(e["s"].alias("s"), e["tf"].alias("tf"), e["w"].alias("w"), times(e).alias("n"))))
-    both = add(lambda e: e["w"] * F.least(e["tf"], e["n"]))
-    window = F.size("win") + add(lambda e: (e["w"] - 1) * e["n"])
-    item = add(lambda e: e["w"] * e["tf"])
-    scored = pairs.select("doc_id", "item_id", "start", "m", (both / (window + item - both)).alias("similarity")).where(F.col("similarity") >= similar - 1e-9)
+    near = near.select("row", "item_id")
+
+    # pairs that the overlap bound allows
+    pairs = meet(hits.select("row", "s"), weighed.where("witness").select("s", "item_id"), ["s"]).select("row", "item_id").distinct()
+    both = meet(pairs.join(hits, "row"), weighed, ["item_id", "s"]).groupBy("row", "item_id")
+    bound = both.agg(F.sum(F.col("w") * F.least("tf", F.size("at"))).alias("both"), F.first("mass").alias("mass"))
+    bound = bound.where(F.col("both") >= (similar - SLACK) * F.col("mass")).select("row", "item_id")
+    pairs = staged(near.unionAll(bound).distinct())
+
+    # exact weighted similarity of all windows: an occurrence is inside for the starts lo to hi, and counts for the item up
+    # to `top`, from where on the window has as many later ones as the item
+    met = meet(pairs.join(hits, "row"), weighed, ["item_id", "s"]).withColumn("size", F.least("n", "m"))
+    last = F.col("n") - F.col("size")
+    spans = met.select(
+        "row", "doc_id", "item_id", "m", "size", "mass", "w", last.alias("last"),
+        F.explode(F.transform("at", lambda p, i: F.struct(p.alias("p"), F.get("at", (i + F.col("tf")).cast("int")).alias("next")))).alias("x"),
+    )
+    lo, hi = F.greatest(F.lit(0), F.col("x.p") - F.col("size") + 1), F.least(F.col("x.p"), F.col("last"))
+    spans = spans.withColumn("lo", lo).withColumn("hi", hi).withColumn("top", F.least(hi, F.coalesce(F.col("x.next") - F.col("size"), hi)))
+    shares = F.when(F.col("top") >= F.col("lo"), F.col("w")).otherwise(0.0)
+    event = lambda at, both, inside, n: F.struct(at.alias("start"), both.alias("both"), inside.alias("inside"), F.lit(n).alias("own"))
+    events = F.array(event(F.col("lo"), shares, F.col("w"), 1), event(F.col("top") + 1, -shares, F.lit(0.0), 0), event(F.col("hi") + 1, F.lit(0.0), -F.col("w"), -1))
+    events = spans.select("row", "doc_id", "item_id", "m", "size", "mass", "last", F.explode(events).alias("e")).where("e.start between 0 and last")
+    events = events.groupBy("row", "doc_id", "item_id", "m", "size", "mass", "last", "e.start").agg(*(F.sum(f"e.{c}").alias(c) for c in ("both", "inside", "own")))
+    so_far = Window.partitionBy("row", "item_id").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    events = events.select("doc_id", "item_id", "m", "size", "mass", "start", *(F.sum(c).over(so_far).alias(c) for c in ("both", "inside", "own")))
+    similarity = F.col("both") / (F.col("size") - F.col("own") + F.col("inside") + F.col("mass") - F.col("both"))
+    # (rounded, since the order of a sum shows in the last digits)
+    scored = events.select("doc_id", "item_id", "start", "m", F.round(similarity, 9).alias("similarity")).where(F.col("similarity") >= similar - 1e-9)
     scored = scored.withColumnRenamed("item_id", "key").join(names, "key")
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "m")).alias("b"))
     return best.select("doc_id", "item_id", F.round("b.similarity", 6).alias("similarity"), (-F.col("b.back")).cast("long").alias("start_word"), (F.col("b.m") + SHINGLE - 1).cast("long").alias("n_words"))
