@@ -328,6 +328,17 @@ def test_contamination_of_windows_that_line_nothing_up(spark):
     assert {(0, 0), (1, 0), (2, 1)} <= set(want)
 
 
+def test_contamination_by_items_of_one_template(spark):
+    rng = random.Random(33)
+    template = prose(rng, 24)
+    own = [prose(rng, 24) for _ in range(60)]
+    items = [(i, " ".join(template + w)) for i, w in enumerate(own)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(own)] + [(60 + i, " ".join(prose(rng, 20) + prose(rng, 16) + template[16:] + w + prose(rng, 20))) for i, w in enumerate(own)]
+    docs += [(120, " ".join(template)), (121, " ".join(prose(rng, 60) + template + own[0][:9]))]
+    want = same_contamination(spark, docs, items)
+    assert {(i, i) for i in range(60)} <= set(want)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()

@@ -3,7 +3,7 @@
 A document's words are cut into five-word shingles. A document and an item are compared if either of two ways finds them:
 
 * SimHash: for every shingle that a benchmark item also has, the window of the item's size that lines both up gets a
-  64-bit SimHash of its shingles. Items are indexed by BLOCKS blocks of their fingerprint with every value within
+  64-bit SimHash of its shingles, in which a shingle votes with its weight (1 / number of items that hold it). Items are indexed by BLOCKS blocks of their fingerprint with every value within
   BLOCK_RADIUS bits: two fingerprints within RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1 bits agree within BLOCK_RADIUS in
   some block, so the index returns all items within the radius.
 * The exact overlap bound, whatever the fingerprints say: the shingles that the whole document shares with the item must
@@ -55,9 +55,9 @@ def shingles_of(words: str) -> Column:
 
 
 def simhash(shingles: Column) -> Column:
-    """Bit b is set if more shingles have it than not."""
+    """Bit b is set if shingles (s, w) that have it weigh more than those that do not."""
     bit = lambda x, b: F.call_function("shiftright", x, b).bitwiseAND(F.lit(1).cast("long"))
-    votes = lambda b: F.aggregate(shingles, F.lit(0).cast("long"), lambda acc, x: acc + 2 * bit(x, b) - 1)
+    votes = lambda b: F.aggregate(shingles, F.lit(0.0), lambda acc, x: acc + x["w"] * (2 * bit(x["s"], b) - 1))
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.when(votes(b) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))))
 
 
@@ -85,7 +85,7 @@ def contamination(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -
     items = items.dropDuplicates(["item_id", "text"]).withColumn("key", F.xxhash64("item_id", "text"))
     names = staged(items.select("item_id", "key"))
     items = items.withColumn("w", words_of(F.col("text"))).select(F.col("key").alias("item_id"), shingles_of("w").alias("h")).where(F.size("h") > 0)
-    items = staged(items.withColumn("m", F.size("h")).withColumn("print", simhash(F.col("h"))))
+    items = staged(items.withColumn("m", F.size("h")))
 
     # what each item weighs: (shingle, times, weight), its mass, and whether the shingle is a witness
     held = items.select("item_id", "m", F.posexplode("h").alias("off", "s"))
@@ -94,6 +94,8 @@ def contamination(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -
     common_first = item.orderBy("w", "s").rowsBetween(Window.unboundedPreceding, 0)
     weighed = held.groupBy("item_id", "m", "s").agg(F.count("*").alias("tf")).join(held_by, "s").withColumn("mass", F.sum(F.col("w") * F.col("tf")).over(item))
     weighed = staged(weighed.withColumn("witness", F.sum(F.col("w") * F.col("tf")).over(common_first) >= (similar - SLACK) * F.col("mass")))
+    voted = held.join(held_by, "s").groupBy("item_id", "m").agg(F.sort_array(F.collect_list(F.struct("off", "s", "w"))).alias("h"))
+    prints = staged(voted.select("item_id", "m", simhash(F.col("h")).alias("print")))
     lookup = held.select("s", "off", "m").distinct()  # items of one size share windows
     passes = max(1, -(-held.count() // ITEM_ROWS))
 
@@ -107,37 +109,40 @@ def contamination(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -
     # where documents hold shingles of items
     # (outer explodes: the optimizer would repeat the shingles in a filter for the others, once for each word)
     every = shingled.select("row", "doc_id", F.size("h").alias("n"), F.posexplode_outer("h").alias("pos", "s"))
-    hits = staged(meet(every, held_by.select("s"), ["s"]).groupBy("row", "doc_id", "n", "s").agg(F.sort_array(F.collect_set("pos")).alias("at")))
+    hits = staged(meet(every, held_by, ["s"]).groupBy("row", "doc_id", "n", "s", "w").agg(F.sort_array(F.collect_set("pos")).alias("at")))
 
     # aligned windows
     starts = meet(hits, lookup, ["s"]).select("row", "n", "m", "off", F.explode("at").alias("pos"))
     starts = starts.select("row", "m", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("off"), F.col("n") - F.col("m"))).alias("start"))
     starts = staged(starts.groupBy("row").agg(F.collect_set(F.struct("m", "start")).alias("starts")))
-    texts = docs.join(starts, "row").select("row", "starts", words_of(F.col("text")).alias("w")).select("row", "starts", shingles_of("w").alias("h"))
+    weights = hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("s", "w"))).alias("weights"))
+    texts = docs.join(starts.join(weights, "row"), "row").select("row", "starts", "weights", words_of(F.col("text")).alias("w")).select("row", "starts", "weights", shingles_of("w").alias("h"))
+    weigh = F.transform("h", lambda x: F.struct(x.alias("s"), F.coalesce(F.col("weights")[x], F.lit(1.0)).alias("w")))
+    texts = texts.select("row", "starts", weigh.alias("h"))
     windows = texts.select("row", "h", F.explode_outer("starts").alias("x")).select("row", "x.m", F.slice("h", F.col("x.start") + 1, F.col("x.m")).alias("win"))
     windows = staged(windows.select("row", "m", simhash(F.col("win")).alias("print")).distinct())
 
     # items within the radius
     def probed(number: int, bits: int, value: Column) -> DataFrame:
         every = F.transform(F.array(*map(F.lit, _probes(bits))), lambda mask: value.bitwiseXOR(mask.cast("long")))
-        return items.select("item_id", "m", F.lit(number).alias("block"), F.explode(every).alias("value"))
+        return prints.select("item_id", "m", F.lit(number).alias("block"), F.explode(every).alias("value"))
 
     index = reduce(DataFrame.unionAll, [probed(i, bits, v) for i, (bits, v) in enumerate(zip(BLOCK_BITS, block_values(F.col("print"))))])
     asked = windows.select("row", "m", "print", F.posexplode(F.array(*block_values(F.col("print")))).alias("block", "value"))
-    index = index.join(items.select("item_id", F.col("print").alias("item_print")), "item_id")
+    index = index.join(prints.select("item_id", F.col("print").alias("item_print")), "item_id")
     near = asked.join(index, ["m", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     near = near.select("row", "item_id")
 
     # pairs that the overlap bound allows
     pairs = meet(hits.select("row", "s"), weighed.where("witness").select("s", "item_id"), ["s"]).select("row", "item_id").distinct()
-    both = meet(pairs.join(hits, "row"), weighed, ["item_id", "s"]).groupBy("row", "item_id")
+    both = meet(pairs.join(hits.drop("w"), "row"), weighed, ["item_id", "s"]).groupBy("row", "item_id")
     bound = both.agg(F.sum(F.col("w") * F.least("tf", F.size("at"))).alias("both"), F.first("mass").alias("mass"))
     bound = bound.where(F.col("both") >= (similar - SLACK) * F.col("mass")).select("row", "item_id")
     pairs = staged(near.unionAll(bound).distinct())
 
     # exact weighted similarity of all windows: an occurrence is inside for the starts lo to hi, and counts for the item up
     # to `top`, from where on the window has as many later ones as the item
-    met = meet(pairs.join(hits, "row"), weighed, ["item_id", "s"]).withColumn("size", F.least("n", "m"))
+    met = meet(pairs.join(hits.drop("w"), "row"), weighed, ["item_id", "s"]).withColumn("size", F.least("n", "m"))
     last = F.col("n") - F.col("size")
     spans = met.select(
         "row", "doc_id", "item_id", "m", "size", "mass", "w", last.alias("last"),
