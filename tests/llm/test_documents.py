@@ -218,6 +218,39 @@ def test_plans_are_whole(seed):
     assert plan_packing({}, 100) == []
 
 
+def least_by_trial(counts, size):
+    """The least number of bins, by trying every bin for every piece."""
+    pieces, best = sorted((k for k, n in counts.items() for _ in range(n)), reverse=True), [99]
+
+    def put(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(rooms)
+            return
+        for room in {r for r in rooms if r >= pieces[i]}:
+            at = rooms.index(room)
+            put(i + 1, [*rooms[:at], room - pieces[i], *rooms[at + 1 :]])
+        put(i + 1, [*rooms, size - pieces[i]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_plan_tries_every_number_of_a_length():
+    assert sum(m for _, m in plan_packing({2184: 210, 819: 210, 546: 420})) == 210
+    rng = random.Random(3)
+    for _ in range(150):
+        counts = dict(Counter(rng.choices(rng.sample(range(3, 16), 5), k=11)))
+        plan = plan_packing(counts, 20)
+        assert sum(m for _, m in plan) == least_by_trial(counts, 20), counts
+        used = Counter()
+        for filling, many in plan:
+            assert sum(k * n for k, n in filling) <= 20
+            used.update({k: n * many for k, n in filling})
+        assert used == counts
+
+
 def test_plan_beats_best_fit():
     assert sum(m for _, m in plan_packing({6: 2, 5: 2, 4: 2, 3: 2, 2: 1}, 10)) <= sum(m for _, m in best_fit_decreasing({6: 2, 5: 2, 4: 2, 3: 2, 2: 1}, 10))
 

@@ -6,9 +6,13 @@ filling of the search uses up at least one length, and a filling has fewer than
 bounds the plan (4096 fillings of 90 lengths for 4096 tokens). Executors then rank the pieces of a length (salted, so a
 length that a third of the pieces share is spread) and look their places up in the plan.
 
-The search: take the largest piece left, enumerate undominated fillings around it, least waste first; apply a filling as
-often as the counts allow; prune a branch when sequences so far plus the waste bound of the rest cannot beat the
-incumbent. The first incumbent is best-fit decreasing. Search effort is bounded by `nodes`; the result is always whole.
+The search: take the largest piece left and enumerate the undominated fillings around it, over every number of every
+length; least waste first, apply a filling as often as the counts allow, then less often; prune a branch when sequences so
+far plus the waste bound of the rest cannot beat the incumbent; backtrack. The first incumbent is best-fit decreasing,
+and dives that deviate once come before the search, since backtracking alone changes only the last choices of a long plan.
+
+Effort is bounded: by `nodes` for the dives and again for the search, by DIVE_STEPS or NODE_STEPS steps of enumeration at
+a node and by SEARCH_STEPS in the whole search. Within that the search is exhaustive; beyond it the plan is the best found. It is always whole.
 
 Defined results: null text counts as empty; a document always ends with the end id, so each has at least one piece.
 """
@@ -17,9 +21,11 @@ from __future__ import annotations
 
 import bisect
 import gc
+import random
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +36,8 @@ from voxlake.llm.common import docs_of, empty, pieces, staged
 from voxlake.llm.tokens import word_ids
 
 SIZE, END_ID = 4096, 1
+#: Steps of enumeration at a node of a dive, at a node of the search, and in all nodes of the search.
+DIVE_STEPS, NODE_STEPS, SEARCH_STEPS = 100, 4_000, 400_000
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
 
@@ -65,93 +73,194 @@ def best_fit_decreasing(counts: dict[int, int], size: int) -> Plan:
     return [(fill, many) for found in groups.values() for fill, many in found.items()]
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int, steps: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """Undominated fillings of room, as (waste, ((length, number), ...)), least waste first.
+def dominated(chosen: tuple[tuple[int, int], ...], waste: int, spare: int) -> bool:
+    """Whether a piece that is left would do better in the place of some chosen ones, whose sum is at most its length.
+
+    spare: bit k is set if a piece of length k is left beside the chosen ones.
+    """
+    one, more = 0, 0  # sums of exactly one and of at least two chosen pieces, as bits
+    for length, number in chosen:
+        for _ in range(number):
+            more |= (one | more) << length
+            one |= 1 << length
+    reach, width = (1 | one | more) << 1, 1  # what exceeds a sum by 1 to `waste`
+    if not waste:
+        reach = 0
+    while width < waste:
+        step = min(width, waste - width)
+        reach |= reach << step
+        width += step
+    return bool(spare & (more | reach))
+
+
+def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int | None, steps: int) -> tuple[list[tuple[int, tuple[tuple[int, int], ...]]], int]:
+    """Undominated fillings of room, as (waste, ((length, number), ...)), least waste first, and the steps left.
 
-    lengths are sorted ascending. Only maximal fillings count, larger pieces are tried first, and a filling that leaves
-    more waste than one with a superset of its large pieces is dominated, so at most `most` of least waste are kept.
+    lengths are sorted ascending. Every number of every length is tried, large ones first. No steps left: some may be missing.
+    most: keep so many, and stop when so many without waste are known.
     """
     found: list[tuple[int, tuple]] = []
-    budget = [steps]
-    smallest = lengths[0] if lengths else room + 1
+    budget, exact, end = [steps], [0], bisect.bisect_right(lengths, room)
+    lengths = lengths[:end]
+    reach = [0, *accumulate(k * counts[k] for k in lengths)]
+    every = sum(1 << k for k in lengths)
 
-    def grow(room: int, below: int, chosen: tuple) -> bool:
-        """True: enough fillings without waste are known."""
-        if room == 0 or room < smallest:
+    def leaf(room: int, chosen: tuple) -> bool:
+        used_up = sum(1 << k for k, n in chosen if n == counts[k])
+        if not dominated(chosen, room, every & ~used_up):
             found.append((room, chosen))
-            return room == 0 and sum(w == 0 for w, _ in found) >= most
-        at = min(bisect.bisect_right(lengths, room), below) - 1
-        fits = at >= 0
-        if not fits:
-            found.append((room, chosen))
-            return False
-        i, tried = at, 0
-        while i >= 0 and budget[0] > 0 and tried < 6:
+            exact[0] += not room
+        return most is not None and exact[0] >= most
+
+    def grow(room: int, below: int, chosen: tuple, skipped: int) -> bool:
+        """skipped: the least length of which pieces are left over so far. True: enough fillings are known."""
+        at = bisect.bisect_right(lengths, room, 0, below) - 1
+        if at < 0:
+            return room < skipped and leaf(room, chosen)
+        for i in range(at, -1, -1):
             length = lengths[i]
-            tried += 1
-            budget[0] -= 1
-            number = min(room // length, counts[length])
-            rest = room - number * length
-            if grow(rest, i, (*chosen, (length, number))):
-                return True
-            # a partner that leaves a hole no piece can fill is dominated by the exact partner, if there is one
-            gap = rest if rest in counts and rest < length else 0
-            i = min(i - 1, bisect.bisect_left(lengths, gap)) if gap and tried < 3 else i - 1
-        if budget[0] <= 0 and not found:
-            found.append((room, chosen))
+            if i < at:
+                skipped = min(skipped, lengths[i + 1])
+            if room - reach[i + 1] >= skipped:  # all smaller pieces leave room for one that was skipped
+                return False
+            for number in range(min(room // length, counts[length]), 0, -1):
+                if budget[0] <= 0:
+                    return True
+                budget[0] -= 1
+                if grow(room - number * length, i, (*chosen, (length, number)), skipped if number == counts[length] else min(skipped, length)):
+                    return True
         return False
 
-    grow(room, len(lengths), ())
-    best: dict[tuple, int] = {}
-    for waste, chosen in found:
-        best[chosen] = waste
-    return sorted(((w, c) for c, w in best.items()), key=lambda x: (x[0], tuple(-a for a, _ in x[1])))[:most]
+    grow(room, len(lengths), (), room + 1)
+    if not found:  # no steps left: what fits, largest first
+        rest, chosen = room, []
+        at = len(lengths) - 1
+        while at >= 0:
+            number = min(rest // lengths[at], counts[lengths[at]])
+            if number:
+                chosen.append((lengths[at], number))
+                rest -= number * lengths[at]
+            at = bisect.bisect_right(lengths, rest, 0, at) - 1
+        found.append((rest, tuple(chosen)))
+    found.sort(key=lambda x: (x[0], tuple(-a for a, _ in x[1])))
+    return found[:most], budget[0]
+
+
+def least_sequences(counts: dict[int, int], size: int) -> int:
+    """A lower bound: by waste, with pieces over half (and those that fit beside none of a length) alone in their sequences."""
+    lengths = sorted(counts)
+    small = [k for k in lengths if 2 * k <= size]
+    large = lengths[len(small) :]
+    n_large, best = sum(counts[k] for k in large), -(-sum(k * n for k, n in counts.items()) // size)
+    # threshold: pieces below it are left out, large ones that leave less room than it are full
+    space, total, j = sum((size - k) * counts[k] for k in large), sum(k * counts[k] for k in small), len(large)
+    for least in [0, *small]:
+        while j and size - large[j - 1] < least:
+            j -= 1
+            space -= (size - large[j]) * counts[large[j]]
+        best = max(best, n_large + max(0, -(-(total - space) // size)))
+        total -= least * counts.get(least, 0)
+    return best
 
 
 def plan_packing(counts: dict[int, int], size: int = SIZE, nodes: int = 20_000) -> Plan:
-    """The least sequences found for a histogram of lengths; optimal when it meets the waste bound."""
+    """The least sequences found for a histogram of lengths; optimal when it meets the bound or the search ends by itself."""
     counts = {k: v for k, v in counts.items() if v}
     best = best_fit_decreasing(counts, size)
     total = sum(k * v for k, v in counts.items())
-    half = sum(v for k, v in counts.items() if 2 * k > size)
-    bound, best_n = max(-(-total // size), half), sum(m for _, m in best)
-    effort = [nodes]
-
-    def descend(greedy_at: int) -> Plan | None:
-        """One descent; greedy_at: the depth at which the second filling is taken instead of the first (-1: never)."""
-        left, lengths, out, used, rest, depth = dict(counts), sorted(counts), [], 0, total, 0
-        while lengths:
-            if used + -(-rest // size) >= best_n or effort[0] <= 0:
-                return None
-            effort[0] -= 1
-            top = lengths[-1]
-            left[top] -= 1
-            pool = lengths if left[top] else lengths[:-1]
-            choices = fillings(pool, left, size - top, 2 if depth == greedy_at else 1, 400)
-            left[top] += 1
-            chosen = choices[min(len(choices) - 1, int(depth == greedy_at))][1] if choices else ()
-            need: dict[int, int] = defaultdict(int)
-            need[top] += 1
-            for length, number in chosen:
-                need[length] += number
-            many = min(left[k] // n for k, n in need.items())
-            for k, n in need.items():
-                left[k] -= n * many
-                rest -= k * n * many
-                if not left[k]:
-                    lengths.pop(bisect.bisect_left(lengths, k))
-                    del left[k]
-            out.append((tuple(need.items()), many))
-            used += many
-            depth += 1
+    bound, best_n = least_sequences(counts, size), sum(m for _, m in best)
+    if best_n <= bound:
+        return best
+    left, lengths, path = dict(counts), sorted(counts), []  # path: (need, many, lengths that it used up)
+    used, rest, steps = 0, total, nodes * DIVE_STEPS
+    key, names = 0, {k: random.Random(k).getrandbits(120) for k in counts}  # names a state by the pieces that are gone
+
+    def choices(most: int | None, per: int) -> list[dict[int, int]]:
+        nonlocal steps
+        top = lengths[-1]
+        left[top] -= 1
+        given = min(per, steps)
+        found, unused = fillings(lengths if left[top] else lengths[:-1], left, size - top, most, given)
+        left[top] += 1
+        steps -= given - unused
+        out = []
+        for _, chosen in found:
+            need = dict(chosen)
+            need[top] = need.get(top, 0) + 1
+            out.append(need)
         return out
 
-    at = -1
-    while best_n > bound and effort[0] > 0 and at < 64:
-        found = descend(at)
-        if found is not None and (n := sum(m for _, m in found)) < best_n:
-            best, best_n = found, n
+    def take(need: dict[int, int], many: int) -> None:
+        nonlocal used, rest, key
+        gone = []
+        for k, n in need.items():
+            left[k] -= n * many
+            rest -= k * n * many
+            key += names[k] * n * many
+            if not left[k]:
+                lengths.pop(bisect.bisect_left(lengths, k))
+                gone.append(k)
+                del left[k]
+        used += many
+        path.append((need, many, gone))
+
+    def undo() -> None:
+        nonlocal used, rest, key
+        need, many, gone = path.pop()
+        for k in gone:
+            left[k] = 0
+            bisect.insort(lengths, k)
+        for k, n in need.items():
+            left[k] += n * many
+            rest += k * n * many
+            key -= names[k] * n * many
+        used -= many
+
+    def hopeless() -> bool:
+        return used + -(-rest // size) >= best_n or len(lengths) <= 256 and used + least_sequences(left, size) >= best_n
+
+    def keep() -> None:
+        nonlocal best, best_n
+        if not lengths and used < best_n:
+            best, best_n = [(tuple(need.items()), many) for need, many, _ in path], used
+
+    # dives that take the second filling at one depth
+    effort, at = nodes, -1
+    while best_n > bound and effort > 0 and at < 64:
+        while lengths and effort > 0 and steps > 0 and not used + -(-rest // size) >= best_n:
+            effort -= 1
+            found = choices(2 if len(path) == at else 1, DIVE_STEPS)
+            need = found[min(len(found) - 1, int(len(path) == at))]
+            take(need, min(left[k] // n for k, n in need.items()))
+        keep()
+        while path:
+            undo()
         at += 1
+
+    # depth first, with backtracking
+    def children() -> Iterator[tuple[dict[int, int], int]]:
+        found = choices(None, NODE_STEPS)
+        for need in found:
+            for many in range(min(left[k] // n for k, n in need.items()), 0, -1):
+                yield need, many
+
+    effort, steps, seen = nodes, SEARCH_STEPS, {}
+    stack = [children()]
+    while stack and best_n > bound and effort > 0 and steps > 0:
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
+            if path:
+                undo()
+            continue
+        effort -= 1
+        take(*child)
+        keep()
+        if not lengths or hopeless() or seen.get(key, used + 1) <= used:
+            undo()
+            continue
+        seen[key] = used
+        stack.append(children())
     return best
 
 
