@@ -309,6 +309,19 @@ def test_quality(spark, docs, none):
     scored = score_quality(real, known).join(known, "doc_id").where("held_out")
     assert scored.agg(F.avg((F.col("quality") == F.col("predicted")).cast("double"))).first()[0] > 0.95
 
+def test_random_letters_and_keys_in_paths(spark):
+    rng = random.Random(12)
+    letters, mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    paths = ["accounts/password/reset/confirm/", "documents/archive/project/report/", "session-identifier=", ""]
+    keys = [("".join(rng.choices(a, k=n)), paths[i % 4]) for a, n in ((letters, 20), (letters, 32), (mixed, 24), (mixed, 12)) for i in range(200)]
+    df = spark.createDataFrame([(i, f"see {p}{k} there") for i, (k, p) in enumerate(keys)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in find_secrets(df, vocabulary("byte_bpe_50k.tiktoken")).collect()}
+    hit = [any(s.kind == "random" and s.start <= 4 + len(p) and s.end >= 4 + len(p) + len(k) for s in got[i]) for i, (k, p) in enumerate(keys)]
+    assert all(sum(hit[j : j + 200]) >= 190 for j in range(0, 800, 200)), [sum(hit[j : j + 200]) for j in range(0, 800, 200)]
+    plain = ["accounts/password/reset/confirm/internationalization", "a-b-c-d-e-f-g-h-i-j-k", "2024-01-31T10:00:00", "Donaudampfschifffahrtsgesellschaft", "----------------", "12345678901234567890"]
+    clean = find_secrets(spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string"), vocabulary("byte_bpe_50k.tiktoken")).collect()
+    assert not [plain[r.doc_id] for r in clean if r.spans]
+
 
 def test_contamination(spark, docs, none):
     rng = random.Random(21)

@@ -2,8 +2,10 @@
 
 Three base patterns find assignments, access keys and long hexadecimal runs. The method adds spans of kind `random`:
 character runs that a tiktoken vocabulary compresses badly (few characters a token) look random. Known digests (lengths
-of MD5, SHA-1, SHA-2), UUIDs and runs without both a letter and a digit are excluded first, so that plain words, numbers
-and identifiers stay clean. A random span inside a base span is not repeated.
+of MD5, SHA-1, SHA-2), UUIDs and runs without a letter are excluded first, and what has no digit must be compressed worse and
+be longer, so that plain words, numbers and identifiers stay clean. A run is judged as a whole and, where that is not
+random, by its parts between / = _ -, so that a path in front does not hide a key; neighbouring parts that are all
+compressed badly are judged together first. A random span inside a base span is not repeated.
 
 Defined results: null text counts as empty; every row of the input is returned; offsets are code points, end exclusive.
 """
@@ -28,12 +30,23 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 #: Lengths of hexadecimal digests in common use.
 DIGESTS = frozenset({32, 40, 48, 56, 64, 96, 128})
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Least length of a run without inner separators or a part, of a run with them, and of one
+#: without a digit in the case of a word.
+LEAST, LEAST_RUN, LEAST_LETTERS = 12, 16, 16
+#: What has no digit must stay below this share of the ratio; parts judged together need one so long.
+LETTERS, LEAST_PART = 0.85, 8
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+PART = re.compile(r"[A-Za-z0-9+]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 ONLY_HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 
+def written(run: str) -> bool:
+    """Whether its case is that of a word."""
+    return run.islower() or run.isupper() or run.istitle()
+
+
 class Scanner:
     def __init__(self, path: str, ratio: float):
         import public_tokenizers
@@ -45,10 +58,35 @@ class Scanner:
         self.ratio = ratio
 
     def random(self, run: str) -> bool:
-        if not (_DIGIT.search(run) and _LETTER.search(run)) or UUID.fullmatch(run) or (len(run) in DIGESTS and ONLY_HEX.fullmatch(run)):
+        if not _LETTER.search(run) or UUID.fullmatch(run) or (len(run) in DIGESTS and ONLY_HEX.fullmatch(run)):
             return False
-        # a sliding judgement would need more than one ratio; a run is judged as a whole
-        return len(run) < self.ratio * len(self.encoding.encode_ordinary(run))
+        ratio = self.ratio
+        if not _DIGIT.search(run):
+            if (len(run) < LEAST_LETTERS and written(run)) or max(map(len, PART.findall(run))) < LEAST_PART:
+                return False
+            ratio *= LETTERS
+        return len(run) < ratio * len(self.encoding.encode_ordinary(run))
+
+    def randoms(self, run: str) -> list[tuple[int, int]]:
+        """(start, end) of what is random in a run."""
+        parts = [m.span() for m in PART.finditer(run)]
+        if (len(run) >= LEAST_RUN or len(parts) == 1) and self.random(run):
+            return [(0, len(run))]
+        if parts == [(0, len(run))]:
+            return []
+        known = [m.span() for m in UUID.finditer(run)]
+        groups: list[list[tuple[int, int]]] = [[]]  # neighbours that the vocabulary compresses badly, however short
+        for a, b in parts:
+            bad = b - a < self.ratio * len(self.encoding.encode_ordinary(run[a:b])) and not any(x < b and a < y for x, y in known)
+            groups[-1].append((a, b)) if bad else groups.append([])
+        found = []
+        for group in filter(None, groups):
+            a, b = group[0][0], group[-1][1]
+            if b - a >= LEAST and max(y - x for x, y in group) >= LEAST_PART and self.random(run[a:b]):
+                found.append((a, b))
+            else:
+                found += [(x, y) for x, y in group if y - x >= LEAST and self.random(run[x:y])]
+        return found
 
     def __call__(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind number, end), sorted."""
@@ -57,15 +95,15 @@ class Scanner:
             spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
         if "AKIA" in text:
             spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
-        if _DIGIT.search(text):
-            spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-            base = sorted((a, b) for a, _, b in spans)
-            for m in CANDIDATE.finditer(text):
-                a, b = m.span()
-                if self.random(m.group()) and not any(x <= a and b <= y for x, y in base):
+        spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+        base = sorted((a, b) for a, _, b in spans)
+        for m in CANDIDATE.finditer(text):
+            if len(m[0]) < LEAST_LETTERS and m[0].isalpha() and written(m[0]):  # most long words
+                continue
+            for a, b in self.randoms(m[0]):
+                a, b = m.start() + a, m.start() + b
+                if not any(x <= a and b <= y for x, y in base):
                     spans.append((a, 3, b))
-        else:  # runs of letters only
-            spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
         spans.sort()
         return spans
 
