@@ -75,6 +75,20 @@ def test_odd_pages(spark):
     assert extraction.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["button", "object", "video", "canvas", "svg", "select", "noscript", "audio", "datalist", "xmp", "math"])
+def test_elements_that_are_no_raw_text(spark, tag):
+    said = "The river rose after the long rain, and people of the village carried sand to the dam. "
+    before = f"<html><body><div class=menu><a href=1>Home</a></div><article><h1>Flood in the valley</h1><p>{said * 3}</p>"
+    after = f"<p>{said * 2}It held, they said.</p><p>{said * 2}Nobody was hurt.</p></article><div class=footer>&copy; all</div></body></html>"
+    rows = [(1, "u", f"{before}<{tag}>{after}"), (2, "u", f"{before}<p>{said}</p><{tag}></{tag}>{after}"), (3, "u", f"{before}<{tag}>{said * 3}</{tag}>{after}")]
+    got = {r.page_id: r.text for r in extraction.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("It held, they said." in t and "Nobody was hurt." in t for t in got.values())
+    read = extraction.Page(f"<p>see <{tag}>inner words</{tag}> here</p>")
+    assert "inner words" in " ".join(t for t in read.text if t)
+    if tag == "math":
+        assert "see inner words here" in read.text
+
+
 def test_hierarchy():
     page = extraction.Page("<div class=ad><p>one</p></div><p>two</p>")
     chance = np.array([0.5, 0.001, 0.6, 0.6, 0.9, 0.9])

@@ -33,14 +33,18 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: What these hold is not text of the page.
-RAW = frozenset("script style title textarea xmp noembed noframes iframe template svg math select button object audio video canvas datalist noscript".split())
+#: What these hold is not text of the page; without an end tag that is all that follows.
+RAW = frozenset("script style title textarea template iframe noembed noframes".split())
+#: Nodes that stand inside a paragraph as well. One without an end tag is no node, or ends with what holds it.
+INSIDE = frozenset("svg select button object audio video canvas datalist noscript xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag in a row ends an open element of the row's set, up to the nearest of the stops.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
+    "button": ({"button"}, {"table"}),
+    "select": ({"select"}, {"table"}),
     "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
@@ -48,6 +52,8 @@ CLOSES = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
+END = re.compile(rf"</({'|'.join(sorted(INSIDE))})\b", re.I)
+ELEMENT = re.compile(rf"<({'|'.join(sorted(INSIDE))})\b[^>]*>.*?</\1>", re.I | re.S)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -70,6 +76,7 @@ class Page:
     def _read(self, source: str) -> None:
         stack, run, linked, link, at, n = [0], [], 0, False, 0, len(source)
         tag_names = self.tag
+        last_end = {m[1].lower(): m.start() for m in END.finditer(source)}
 
         def flush() -> None:
             nonlocal linked
@@ -104,7 +111,7 @@ class Page:
                 continue
             name = name.lower()
             if m.group(1):
-                if name in BLOCKS:
+                if name in BLOCKS or name in INSIDE:
                     i = next((i for i in range(len(stack) - 1, 0, -1) if tag_names[stack[i]] == name), 0)
                     if i:
                         close(i)
@@ -121,7 +128,8 @@ class Page:
                 end = re.compile(r"</head\s*>|(?=<body\b)", re.I).search(source, at)
                 at = end.end() if end else at
                 continue
-            if name not in BLOCKS:
+            inside = name in INSIDE and not m.group(3).endswith("/") and last_end.get(name, -1) >= at
+            if name not in BLOCKS and not inside:
                 if name == "br":
                     run.append(" ")
                 elif name == "a":
@@ -138,7 +146,7 @@ class Page:
                     i -= 1
                 if first:
                     close(first)
-            elif tag_names[stack[-1]] == "p":
+            elif tag_names[stack[-1]] == "p" and not inside:
                 close(len(stack) - 1)
             flush()
             if name == "hr":
@@ -146,6 +154,11 @@ class Page:
             found = ATTRIBUTE.findall(m.group(3)) if m.group(3) else ()
             tokens = tuple(w.lower() for values in found for v in values if v for w in WORD.findall(v))
             stack.append(self._node(stack[-1], name, tokens, None, 0))
+            if name == "xmp":  # text as it stands
+                end = re.compile(r"</xmp\b", re.I).search(source, at)
+                if end:
+                    run.append(source[at : end.start()])
+                    at = end.start()
         flush()
 
     def features(self, odds: dict[str, float]) -> np.ndarray:
@@ -300,10 +313,13 @@ def layouts(pages: int, seed: int = 7) -> Iterator[str]:
 @functools.lru_cache(maxsize=1)
 def model(pages: int = 1000, trees: int = 60) -> tuple[dict[str, float], float, list]:
     """(log odds of tags and attribute tokens, bias, trees)."""
-    read = [Page(source) for source in layouts(pages)]
-    labels = []
+    # a composed page has few kinds of elements INSIDE: they teach what their tag says, and the trees read the page without
+    whole = list(layouts(pages))
+    bare = [ELEMENT.sub("", source) for source in whole]
+    labels, read = [], []
     counts: dict[str, list[float]] = defaultdict(lambda: [1.0, 1.0])
-    for page in read:
+    for source, for_trees in [*((s, False) for s in whole), *((s, True) for s in bare)]:
+        page = Page(source)
         n = len(page.parent)
         good, bad = np.zeros(n, int), np.zeros(n, int)
         for i in range(n - 1, -1, -1):
@@ -314,11 +330,14 @@ def model(pages: int = 1000, trees: int = 60) -> tuple[dict[str, float], float,
             if i:
                 good[page.parent[i]] += good[i]
                 bad[page.parent[i]] += bad[i]
+        if for_trees:
+            read.append(page)
+            labels.append(np.where(good == 0, 0, np.where(bad == 0, 1, -1)))
+            continue
         for i in range(1, n):
             if page.text[i] is None and good[i] + bad[i]:
                 for word in {*page.tokens[i], f"<{page.tag[i]}>"}:
                     counts[word][int(good[i] > bad[i])] += 1
-        labels.append(np.where(good == 0, 0, np.where(bad == 0, 1, -1)))
     odds = {w: float(np.log(b / a)) for w, (a, b) in counts.items() if a + b > 5}
     x, y = np.concatenate([p.features(odds) for p in read]), np.concatenate(labels)
     bias, grown = boost(x[y >= 0], y[y >= 0].astype(float), trees)
