@@ -179,3 +179,25 @@ def test_manifest_stream(spark, tmp_path):
         spark.createDataFrame(rows, "id long, v string, at int").coalesce(1).write.mode("append").parquet(source)
     manifest.follow(spark, source, "id long, v string, at int", out, ("id",), "at", str(tmp_path / "ck")).awaitTermination()
     assert {(r.id, r.v) for r in manifest.latest(spark, out).collect()} == {(1, "a"), (2, "b"), (3, "b")}
+
+
+def test_linkage_of_whole_tables(spark):
+    from voxlake.queries import spaces
+
+    def rescanned(d, cut):
+        groups = [[i] for i in range(len(d))]
+        while len(groups) > 1:
+            h, x, y = min((max(d[i, j] for i in a for j in b), x, y) for x, a in enumerate(groups) for y, b in enumerate(groups) if x < y)
+            if h > cut:
+                break
+            groups[x] += groups.pop(y)
+        return {frozenset(g) for g in groups}
+
+    rng = np.random.default_rng(6)
+    for k in range(30):
+        p = rng.integers(0, 6, (14, 2)) if k % 2 else rng.normal(size=(14, 2))
+        d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
+        got = clusters.complete_linkage(d, 2.5)
+        assert {frozenset(np.flatnonzero(got == c).tolist()) for c in set(got.tolist())} == rescanned(d, 2.5)
+    want = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+    assert spaces.linkage_clusters(spark, "/root/testdata/sf0.001").count() == want

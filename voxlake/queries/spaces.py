@@ -206,7 +206,7 @@ def linkage_clusters(spark: SparkSession, sf: str) -> DataFrame:
         z = z[:, :5]
         return clusters.complete_linkage(np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1)), 0.3)
 
-    return clusters.per_group(table(spark, sf, "embeddings").where("label < 2"), "label", "embedding", "vec_id", labels)
+    return clusters.per_group(table(spark, sf, "embeddings"), "label", "embedding", "vec_id", labels)
 
 
 @query()
