@@ -203,8 +203,10 @@ def linkage_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Complete linkage of the first five dimensions within a label, cut at a distance."""
 
     def labels(z: np.ndarray) -> np.ndarray:
-        z = z[:, :5]
-        return clusters.complete_linkage(np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1)), 0.3)
+        d = np.zeros((len(z), len(z)))
+        for x in z[:, :5].T:  # one matrix of distances at a time
+            d += (x[:, None] - x) ** 2
+        return clusters.complete_linkage(np.sqrt(d, out=d), 0.3)
 
     return clusters.per_group(table(spark, sf, "embeddings"), "label", "embedding", "vec_id", labels)
 
