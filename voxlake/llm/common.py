@@ -22,25 +22,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. One of our own only on one machine, where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("steps are written to a folder that all machines share: name it in spark.checkpoint.dir")
         found = tempfile.mkdtemp(prefix="voxlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def _steps(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/voxlake-{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes df once to the shared folder as Parquet and reads it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/voxlake-{uuid.uuid4().hex}"
+    path = f"{_steps(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Deletes every step that this application has written; for after its results are written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_steps(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def docs_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and text, under fixed names, so that no other column can clash; null text counts as empty."""
     bounded_batches(df.sparkSession)
@@ -80,6 +92,29 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+#: What a Python worker may hold of its own when a task ends.
+WORKER_MB = 220
+
+
+def held_mb() -> float:
+    """Memory of this process that no file backs; 0 where the system does not say."""
+    try:
+        with open("/proc/self/status") as f:
+            return next((int(line.split()[1]) / 1024 for line in f if line.startswith("RssAnon")), 0.0)
+    except OSError:
+        return 0.0
+
+
+def at_end(batches: Iterator[pa.RecordBatch], most_mb: float | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last one (or when the task is given up) a worker that holds much forgets what it has learned."""
+    try:
+        yield from batches
+    finally:
+        if held_mb() > (most_mb or WORKER_MB):
+            _CACHE.clear()
+            release()
+
+
 def release() -> None:
     """Gives freed memory of this worker back to the machine."""
     gc.collect()

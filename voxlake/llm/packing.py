@@ -14,7 +14,10 @@ and dives that deviate once come before the search, since backtracking alone cha
 Effort is bounded: by `nodes` for the dives and again for the search, by DIVE_STEPS or NODE_STEPS steps of enumeration at
 a node and by SEARCH_STEPS in the whole search. Within that the search is exhaustive; beyond it the plan is the best found. It is always whole.
 
-Defined results: null text counts as empty; a document always ends with the end id, so each has at least one piece.
+Defined results: null text counts as empty; a document always ends with the end id, so each has at least one piece; texts
+of any length are cut into pieces of `size` tokens, the last one shorter; rows that repeat a doc_id are each packed, and so
+are rows without one; pieces of one length are interchangeable, their order is that of (doc_id, piece, checksum); an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import docs_of, empty, pieces, staged
+from voxlake.llm.common import at_end, docs_of, empty, pieces, staged
 from voxlake.llm.tokens import word_ids
 
 SIZE, END_ID = 4096, 1
+#: Rows and megabytes of text that are tokenised at once.
+SLICE_ROWS, SLICE_MB = 500, 1
 #: Steps of enumeration at a node of a dive, at a node of the search, and in all nodes of the search.
 DIVE_STEPS, NODE_STEPS, SEARCH_STEPS = 100, 4_000, 400_000
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
@@ -269,22 +274,24 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 def _encode(path: str, size: int, keep_ids: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # lists of words come and go by the million, and none refers back
         ids_of, end = word_ids(path), END_ID.to_bytes(4, "little")
         schema = _PIECES if keep_ids else pa.schema(list(_PIECES)[:-1])
         yield empty(schema)
-        for whole in batches:
-            for batch in pieces(whole, 2000, 16):
-                rows = []
-                for doc, data in zip(batch.column("doc_id").to_pylist(), ids_of.encode_batch(batch.column("text").to_pylist())):
-                    data += end
-                    for piece, at in enumerate(range(0, len(data), 4 * size)):
-                        part = data[at : at + 4 * size]
-                        rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(schema)])
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-        gc.enable()
-
-    return encode
+        gc.disable()  # lists of words come and go by the million, and none refers back
+        try:
+            for whole in batches:
+                for batch in pieces(whole, SLICE_ROWS, SLICE_MB):
+                    rows = []
+                    for doc, data in zip(batch.column("doc_id").to_pylist(), ids_of.encode_batch(batch.column("text").to_pylist())):
+                        data += end
+                        for piece, at in enumerate(range(0, len(data), 4 * size)):
+                            part = data[at : at + 4 * size]
+                            rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(schema)])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        finally:
+            gc.enable()
+
+    return lambda batches: at_end(encode(batches))
 
 
 def _place(plan: Plan):

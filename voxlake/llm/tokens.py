@@ -4,6 +4,10 @@
 again, and the count of a piece is its initial symbols minus its merges; no identifier is made. Counts of pieces are
 kept in a cache of bounded size. Pieces come from the library's pre-tokenizer pattern; a text with characters whose
 classes differ between Unicode versions is cut by the library's own pre-tokenizer.
+
+Defined results: null text counts as empty and has no tokens; whole texts are counted, however long; special strings inside
+a text count as the library counts them; every row is returned, rows that repeat a doc_id or have none each by its own text;
+an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from voxlake.llm.common import cached, docs_of, empty, pieces
+from voxlake.llm.common import at_end, cached, docs_of, empty, pieces
 
-CACHE, LONG = 900_000, 64
+#: Words whose counts a worker remembers, words whose ids it does, and the letters of the longest.
+CACHE, IDS_CACHE, LONG = 900_000, 300_000, 64
+#: Words that the library encodes at once.
+TOGETHER = 4096
 #: Beyond these characters the pattern engines may follow different Unicode versions.
 _NEWER = regex.compile("[^\\x00-\u0557]")
 _LATIN = re.compile("[^\\x00-\u012f\u0131-\u017f]")
@@ -75,12 +82,12 @@ class PairMerger(dict):
         for i in range(n - 1):
             rank = ranks.get(f"{symbols[i]} {symbols[i + 1]}")
             if rank is not None:
-                heap.append((rank, i, 2 if n > 2 else 0, symbols[i], symbols[i + 1]))
+                heap.append((rank, i, symbols[i], symbols[i + 1]))
         heapq.heapify(heap)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         merges = 0
         while heap:
-            _, i, _, a, b = heapq.heappop(heap)
+            _, i, a, b = heapq.heappop(heap)
             j = after[i]
             if symbols[i] != a or j >= n or symbols[j] != b:
                 continue  # one of the two has been merged since
@@ -91,10 +98,10 @@ class PairMerger(dict):
             if k < n:
                 before[k] = i
                 if (rank := ranks.get(f"{a} {symbols[k]}")) is not None:
-                    heapq.heappush(heap, (rank, i, 0, a, symbols[k]))
+                    heapq.heappush(heap, (rank, i, a, symbols[k]))
             h = before[i]
             if h >= 0 and (rank := ranks.get(f"{symbols[h]} {a}")) is not None:
-                heapq.heappush(heap, (rank, h, 0, symbols[h], a))
+                heapq.heappush(heap, (rank, h, symbols[h], a))
         return n - merges
 
 
@@ -133,7 +140,7 @@ _COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every row; null text counts as empty, other columns are ignored."""
+    """(doc_id, n_bytes, n_tokens, over_limit) of every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = token_counter(path)
@@ -143,7 +150,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
             rows = [batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([counter(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(rows, schema=_COUNTS)
 
-    counted = docs_of(docs).mapInArrow(lambda bs: run(p for b in bs for p in pieces(b)), "doc_id long, n_bytes long, n_tokens long")
+    counted = docs_of(docs).mapInArrow(lambda bs: at_end(run(p for b in bs for p in pieces(b))), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", counted.n_tokens > limit)
 
 
@@ -161,11 +168,13 @@ class WordIds(dict):
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words.difference(self) if len(w) <= LONG]
-        if len(self) + len(new) > CACHE:
+        if len(self) + len(new) > IDS_CACHE:
             self.clear()
             new = [w for w in words if len(w) <= LONG]
-        for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self[word] = array("I", found.ids).tobytes()
+        for at in range(0, len(new), TOGETHER):  # what the library returns for a word is large
+            part = new[at : at + TOGETHER]
+            for word, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+                self[word] = array("I", found.ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
