@@ -4,9 +4,14 @@ Script ranges narrow the candidate languages of a word; a word's score in each c
 trigrams; a Viterbi pass with a penalty on switches labels spans of words. A text's language is the one whose spans
 hold most letters, its score that language's share of the letters.
 
-Learned from a bounded number of texts for each language. Defined results: a null text or one without a letter is `und`
-with score 0; words in scripts that no learned language uses take no side; a text of only such words gets the language
-with most training texts, with score 0; every row is returned.
+Learned from a bounded number of texts for each of a bounded number of languages. A letter is what Unicode calls one
+(categories L*): numerals such as superscripts or Roman ones are none, and split words.
+
+Defined results: a null text, an empty one and one without a letter is `und` with score 0; words in scripts that no learned
+language uses take no side; a text of only such words gets the language with most training texts, with score 0. Whole words
+of whole texts are scored, however long. Where two languages score alike, the first by name is taken. Every row is returned,
+rows that repeat a doc_id each by its own text; with no known language every text is `und`; an empty table gives no rows.
+Columns of the input named lang_pred, score or lang_spans are replaced, all others are carried by `with_language`.
 """
 
 from __future__ import annotations
@@ -20,15 +25,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import bounded_batches, cached, empty, pieces, release
+from voxlake.llm.common import at_end, bounded_batches, cached, pieces
 from voxlake.llm.quality import held_out
 
 UND = "und"
+#: Runs of letters, and of numerals that are no digits; `words_of` takes texts with the latter apart again.
 _WORD = re.compile(r"[^\W\d_]+")
 #: Script ranges: first code points of blocks of letters, by script (fixed values).
 SCRIPTS = ((0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "syriac"), (0x900, "indic"), (0xE00, "thai"), (0xE80, "lao"), (0xF00, "tibetan"), (0x1000, "myanmar"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x13A0, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "han"), (0xAC00, "hangul"), (0xD7B0, "han"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"), (0x20000, "han"), (0x30000, "other"))
 _STARTS = np.array([s for s, _ in SCRIPTS])
-CACHE, LONGEST = 250_000, 40
+#: Words that a worker remembers, and their letters.
+CACHE, CACHE_LETTERS = 250_000, 4_000_000
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters."""
+    return _only_letters(text, _WORD.findall(text))
+
+
+def _only_letters(text: str, words: list[str]) -> list[str]:
+    if all(map(str.isalpha, words)):
+        return words
+    return "".join(c if c.isalpha() else " " for c in text).split()
 
 
 def script_of(word: str) -> str:
@@ -44,12 +62,11 @@ class Model:
         counts: list[Counter] = []
         self.scripts: list[set[str]] = []
         for language in self.languages:
-            words = Counter(w for t in texts[language] for w in _WORD.findall(t.lower()))
+            words = Counter(w for t in texts[language] for w in words_of(t.lower()))
             grams: Counter = Counter()
             scripts: Counter = Counter()
             for w, n in words.items():
-                n = min(n, 1000)
-                s = f" {w[:LONGEST]} "
+                s = f" {w} "
                 for i in range(len(s) - 2):
                     grams[s[i : i + 3]] += n
                 scripts[script_of(w)] += n
@@ -71,21 +88,23 @@ class WordScores(dict):
     def __init__(self, model: Model, clip: float = 6.0):
         super().__init__()
         self.model, self.clip = model, clip
-        self.scores = np.zeros((CACHE, len(model.languages)), np.float32)
+        self.scores, self.letters = np.zeros((CACHE, len(model.languages)), np.float32), 0
 
     def learn(self, words: set[str]) -> None:
         new = list(words.difference(self))
         if not new:
             return
-        if len(self) + len(new) > len(self.scores):
+        self.letters += sum(map(len, new))
+        if len(self) + len(new) > len(self.scores) or self.letters > CACHE_LETTERS:
             self.clear()
             new = list(words)
+            self.letters = sum(map(len, new))
             if len(new) > len(self.scores):
                 self.scores = np.zeros((len(new), self.scores.shape[1]), np.float32)
         rows, table = self.model.rows.get, self.model.table
         grams, ends = [], []
         for w in new:
-            s = f" {w.lower()[:LONGEST]} "
+            s = f" {w.lower()} "
             grams += [rows(s[i : i + 3], 0) for i in range(len(s) - 2)]
             ends.append(len(grams))
         sums = np.add.reduceat(table[grams], np.array([0, *ends[:-1]]), axis=0)
@@ -113,7 +132,7 @@ def viterbi(e: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
     ordered = sizes[order]
     longest = int(ordered[0]) if len(ordered) else 0
     active = np.searchsorted(-ordered, -np.arange(1, longest + 1), "right")
-    stay, back = np.ones((len(e), k), bool), np.zeros(len(e), np.int8)
+    stay, back = np.ones((len(e), k), bool), np.zeros(len(e), np.int16)
     v, final = np.zeros((int(active[0]) if longest else 0, k), np.float32), np.zeros(len(sizes), np.int64)
     for t in range(longest):
         a = int(active[t])
@@ -131,7 +150,7 @@ def viterbi(e: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
         v -= v.max(1, keepdims=True)
     if longest:
         final[: len(v)] = v.argmax(1)
-    labels, state = np.zeros(len(e), np.int8), final
+    labels, state = np.zeros(len(e), np.int16), final
     for t in range(longest - 1, -1, -1):
         a = int(active[t])
         at = starts[:a] + t
@@ -144,8 +163,13 @@ def viterbi(e: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
 def _predict(texts: list[str], scores: WordScores, penalty: float) -> tuple[list[str], list[float], list[list[dict]]]:
     found, rows, lengths = [], [], []
     for at in range(0, len(texts), 400):
-        read = [_WORD.findall(t) for t in texts[at : at + 400]]
-        scores.learn(set().union(*read))
+        part = texts[at : at + 400]
+        read = [_WORD.findall(t) for t in part]
+        every = set().union(*read)
+        if not all(map(str.isalpha, every.difference(scores))):  # known words are of letters only
+            read = [_only_letters(t, words) for t, words in zip(part, read)]
+            every = set().union(*read)
+        scores.learn(every)
         for words in read:
             found.append(scores.scores[np.fromiter(map(scores.__getitem__, words), np.int64, len(words))])
             lengths.append(np.fromiter(map(len, words), np.int64, len(words)))
@@ -172,17 +196,20 @@ def _predict(texts: list[str], scores: WordScores, penalty: float) -> tuple[list
 _LANGS = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("lang_spans", pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())])))])
 
 
-def learn_languages(docs: DataFrame, texts_each: int = 300) -> Model:
-    """A model from at most texts_each texts of each language outside the held-out third, in hash order."""
+def learn_languages(docs: DataFrame, texts_each: int = 300, most_languages: int = 500) -> Model:
+    """A model of the most_languages commonest languages, from at most texts_each texts of each outside the held-out third,
+    in hash order. Both bounds are parameters of the sample, so is what reaches the driver."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("known")).where("known is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    salted = known.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
-    for keys in (("known", "salt"), ("known",)):  # a language of most rows is cut down in parts first
-        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
-        salted = salted.withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts_each)
-    ids = salted.select("doc_id").distinct()
-    ids = [r[0] for r in ids.collect()]  # languages x texts_each numbers at most
-    frame = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("known"), F.col("text").cast("string").alias("text")).where("known is not null and text is not null").join(F.broadcast(frame), "doc_id", "left_semi").select("known", "text")
+    # a language of many rows is first thinned by the hash, to some four times what is taken
+    counts = known.groupBy("known").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "known").limit(most_languages)
+    place = F.xxhash64("doc_id", "known")
+    thin = F.pmod(place, F.lit(1 << 20)) < F.lit(float(max(64, 4 * texts_each) << 20)) / F.col("n")
+    order = Window.partitionBy("known").orderBy(place, "doc_id")
+    some = known.join(F.broadcast(counts), "known").where(thin).distinct()
+    ids = some.withColumn("r", F.row_number().over(order)).where(F.col("r") <= texts_each).select("doc_id", "known")
+    frame = docs.sparkSession.createDataFrame([tuple(r) for r in ids.collect()], "doc_id long, known string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("known"), F.col("text").cast("string").alias("text")).where("known is not null and text is not null")
+    rows = rows.join(F.broadcast(frame), ["doc_id", "known"], "left_semi").groupBy("doc_id", "known").agg(F.min("text").alias("text")).select("known", "text")
     texts: dict[str, list[str]] = {}
     for language, text in sorted(map(tuple, rows.collect())):
         texts.setdefault(language, []).append(text)
@@ -190,7 +217,7 @@ def learn_languages(docs: DataFrame, texts_each: int = 300) -> Model:
 
 
 def with_language(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
-    """docs with lang_pred, score and lang_spans array<struct<lang, first_word, n_words>> appended."""
+    """docs with lang_pred, score and lang_spans array<struct<lang, first_word, n_words>> appended (or replaced)."""
     bounded_batches(docs.sparkSession)
     clash = {"lang_pred", "score", "lang_spans"} & set(docs.columns)
     docs = docs.drop(*clash)
@@ -200,14 +227,13 @@ def with_language(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _word_scores(model) if model.languages else None
         for whole in batches:
-            for batch in pieces(whole, 2500, 8):
+            for batch in pieces(whole, 1500, 4):
                 texts = [t or "" for t in batch.column(at).to_pylist()]
                 found = _predict(texts, scores, penalty) if scores is not None else ([UND] * len(texts), [0.0] * len(texts), [[]] * len(texts))
                 new = [pa.array(c, f.type) for c, f in zip(found, _LANGS)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema=pa.schema([*batch.schema, *_LANGS]))
-        release()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: at_end(run(batches)), schema)
 
 
 def identify_languages(docs: DataFrame, texts_each: int = 300) -> DataFrame:
