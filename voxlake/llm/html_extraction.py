@@ -9,11 +9,15 @@ The model is trained here, on pages that `layouts` composes from page parts with
 gives the same model); it never sees the pages that it is applied to. The tree is built without recursion, so depth and
 size of a page are not limited.
 
-Defined results: null html counts as empty; a page without main text gives an empty text; every row is returned.
+Defined results: null html counts as empty; a page without main text gives an empty text; whole pages are read in time that
+is linear in their length, however malformed: a tag that never ends is text, an end tag without its start says nothing, an
+unclosed element ends with what holds it; every row is returned, rows that repeat a page_id or a page each by itself; an
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html as entities
 import random
@@ -27,14 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.llm.boosting import boost, predict_tree
-from voxlake.llm.common import bounded_batches, empty, pieces
+from voxlake.llm.common import at_end, bounded_batches, empty, pieces
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: What these hold is not text of the page; without an end tag that is all that follows.
-RAW = frozenset("script style title textarea template iframe noembed noframes".split())
+#: What these hold is not text of the page. Without an end tag that is all that follows for the first two, and nothing for
+#: the others.
+CODE = frozenset("script style".split())
+RAW = CODE | frozenset("title textarea template iframe noembed noframes".split())
 #: Nodes that stand inside a paragraph as well. One without an end tag is no node, or ends with what holds it.
 INSIDE = frozenset("svg select button object audio video canvas datalist noscript xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,15 +57,73 @@ CLOSES = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
+LEAD = re.compile(r"<(?=[a-zA-Z/!?])")
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+SHORT = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+)>")
+STOP = re.compile(r"""[>"']""")
 END = re.compile(rf"</({'|'.join(sorted(INSIDE))})\b", re.I)
 ELEMENT = re.compile(rf"<({'|'.join(sorted(INSIDE))})\b[^>]*>.*?</\1>", re.I | re.S)
-LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+HEAD_END = re.compile(r"</head\s*>|(?=<body\b)", re.I)
+XMP_END = re.compile(r"</xmp\b", re.I)
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 N_FEATURES = 18
 
 
+class Tags:
+    """The tags of a source from left to right, each character looked at a bounded number of times.
+
+    A tag ends at the first > outside quotes; where quotes do not pair up, at the first >. What never ends is text.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last = source, {c: source.rfind(c) for c in ">\"'"}
+        self.dead: set[int] = set()  # stops from which no tag's end is reached outside quotes
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag whose name ends at `at`; -1 without one."""
+        source, last = self.source, self.last
+        if at > last[">"]:
+            return -1
+        seen, j = [], at
+        while m := STOP.search(source, j):
+            j = m.start()
+            if j in self.dead:
+                break
+            if source[j] == ">":
+                return j
+            seen.append(j)
+            if j >= last[source[j]]:
+                break
+            j = source.find(source[j], j + 1) + 1
+        self.dead.update(seen)
+        return source.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, str, bool] | None:
+        """(begin, end, name, attributes, closing) of the next tag from `at` on; the name is empty for comments and the like."""
+        source, last = self.source, self.last
+        while lead := LEAD.search(source, at):
+            begin = lead.start()
+            if m := SHORT.match(source, begin):
+                return begin, m.end(), m[2], m[3], bool(m[1])
+            if m := NAME.match(source, begin):
+                end = self.end(m.end())
+                if end < 0:
+                    return None  # no > follows, so no tag does
+                return begin, end + 1, m[1], source[m.end() : end], source[begin + 1] == "/"
+            if source.startswith("<!--", begin):
+                if source.startswith((">", "->"), begin + 4):
+                    return begin, source.find(">", begin) + 1, "", "", False
+                end = source.find("-->", begin + 4)
+                return begin, end + 3 if end >= 0 else len(source), "", "", False
+            if source.startswith(("<!", "<?"), begin):
+                end = source.find(">", begin) if begin < last[">"] else -1
+                return (begin, end + 1, "", "", False) if end >= 0 else None
+            at = begin + 1
+        return None
+
+
 class Page:
     """Nodes in page order; node 0 is the page. Text runs are leaves with a text."""
 
@@ -75,7 +139,9 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack, run, linked, link, at, n = [0], [], 0, False, 0, len(source)
-        tag_names = self.tag
+        tag_names, tags, seen_head = self.tag, Tags(source), False
+        opened: dict[str, list[int]] = defaultdict(list)  # places in the stack, by name
+        endless: set[str] = set()  # raw elements that no end tag follows any more
         last_end = {m[1].lower(): m.start() for m in END.finditer(source)}
 
         def flush() -> None:
@@ -89,13 +155,12 @@ class Page:
 
         def close(at: int) -> None:
             flush()
-            del stack[at:]
+            while len(stack) > at:
+                opened[tag_names[stack.pop()]].pop()
 
         while at < n:
-            m = TOKEN.search(source, at)
-            odd = LOOSE.search(source, at, m.start() if m else n) if not m or m.start() - at > 3 and "<" in source[at : m.start()] else None
-            m = odd or m
-            begin = m.start() if m else n
+            tag = tags.next(at)
+            begin = tag[0] if tag else n
             if begin > at:
                 piece = source[at:begin]
                 if "&" in piece:
@@ -103,32 +168,32 @@ class Page:
                 run.append(piece)
                 if link:
                     linked += len(piece)
-            if not m:
+            if not tag:
                 break
-            at = m.end()
-            name = m.group(2) if m.re.groups else None
+            _, at, name, said, closing = tag
             if not name:
                 continue
             name = name.lower()
-            if m.group(1):
-                if name in BLOCKS or name in INSIDE:
-                    i = next((i for i in range(len(stack) - 1, 0, -1) if tag_names[stack[i]] == name), 0)
-                    if i:
-                        close(i)
-                        link = False
+            if closing:
+                if opened[name]:
+                    close(opened[name][-1])
+                    link = False
                 elif name == "a":
                     link = False
                 continue
             if name in RAW:
-                if not m.group(3).endswith("/"):
-                    end = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(source, at)
-                    at = end.end() if end else n
+                if not said.endswith("/") and name not in endless:
+                    end = RAW_END[name].search(source, at)
+                    if not end:
+                        endless.add(name)
+                    stop = source.find(">", end.end()) if end else -1
+                    at = stop + 1 if stop >= 0 else n if name in CODE or end else at
                 continue
             if name == "head":  # nothing in it is shown; a page without </head> goes on at its body
-                end = re.compile(r"</head\s*>|(?=<body\b)", re.I).search(source, at)
-                at = end.end() if end else at
+                end = None if seen_head else HEAD_END.search(source, at)
+                at, seen_head = end.end() if end else at, True
                 continue
-            inside = name in INSIDE and not m.group(3).endswith("/") and last_end.get(name, -1) >= at
+            inside = name in INSIDE and not said.endswith("/") and last_end.get(name, -1) >= at
             if name not in BLOCKS and not inside:
                 if name == "br":
                     run.append(" ")
@@ -138,25 +203,21 @@ class Page:
                 continue
             if name in CLOSES:
                 ends, stops = CLOSES[name]
-                i = len(stack) - 1
-                first = 0
-                while i > 0 and tag_names[stack[i]] not in stops:
-                    if tag_names[stack[i]] in ends:
-                        first = i
-                    i -= 1
-                if first:
-                    close(first)
+                scope = max((opened[s][-1] for s in stops if opened[s]), default=0)
+                within = [opened[e][k] for e in ends if (k := bisect.bisect_right(opened[e], scope)) < len(opened[e])]
+                if within:
+                    close(min(within))
             elif tag_names[stack[-1]] == "p" and not inside:
                 close(len(stack) - 1)
             flush()
             if name == "hr":
                 continue
-            found = ATTRIBUTE.findall(m.group(3)) if m.group(3) else ()
+            found = ATTRIBUTE.findall(said) if said else ()
             tokens = tuple(w.lower() for values in found for v in values if v for w in WORD.findall(v))
+            opened[name].append(len(stack))
             stack.append(self._node(stack[-1], name, tokens, None, 0))
             if name == "xmp":  # text as it stands
-                end = re.compile(r"</xmp\b", re.I).search(source, at)
-                if end:
+                if end := XMP_END.search(source, at):
                     run.append(source[at : end.start()])
                     at = end.start()
         flush()
@@ -368,4 +429,4 @@ def extract_main_text(pages_df: DataFrame, id_col: str = "page_id", url_col: str
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], schema=_TEXTS)
 
     taken = pages_df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return taken.mapInArrow(run, "page_id long, url string, text string")
+    return taken.mapInArrow(lambda batches: at_end(run(batches)), "page_id long, url string, text string")
