@@ -17,9 +17,13 @@ component. Similar documents are partitioned into groups, each group's token uni
    and group is the group's union; the rarest n - ceil(0.75 n) + 1 of a query's shared tokens must meet a group's union
    for the group to be opened, and the members of an opened group are compared exactly, in memory.
 
+A class is named by a 128-bit hash of its set, and by a number of its own from step 3 on; shingles are 64-bit hashes. Only
+step 2 tells classes apart by 64 bits: two classes that share these look for partners together.
+
 Nothing is capped: every step keeps all that can link. Defined results: null text is empty; an empty set links with
-nothing; with fewer than five words the whole sequence is one shingle; rows without doc_id are returned alone, with a
-null component; other columns are ignored.
+nothing; with fewer than five words the whole sequence is one shingle; whole texts count, however long; rows without doc_id
+are returned alone, with a null component; rows that repeat a doc_id are each returned, by their own text; an empty table
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import byte_texts, docs_of, empty, pieces, staged
+from voxlake.llm.common import at_end, byte_texts, docs_of, empty, pieces, staged
 from voxlake.llm.components import components
 from voxlake.llm.sieve import only_maybe
 from voxlake.llm.substring_dedup import _shared_hashes, rolling
@@ -74,17 +78,20 @@ def _each(batches: Iterator[pa.RecordBatch]):
             yield batch, [shingle_set(t, cache) for t in byte_texts(batch)]
 
 
-_CLASSES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64())])
+_CLASSES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("rest", pa.int64())])
 
 
-def _class_of(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def _class_of(s: np.ndarray) -> tuple[int, int]:
+    """A set's 128-bit name in two halves."""
+    name = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (name >> 64) - (1 << 63), (name & ((1 << 64) - 1)) - (1 << 63)
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield empty(_CLASSES)
     for batch, sets in _each(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(_class_of, sets)), pa.int64())], schema=_CLASSES)
+        names = list(map(_class_of, sets))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), *(pa.array([x[k] for x in names], pa.int64()) for k in (0, 1))], schema=_CLASSES)
 
 
 #: Kinds of dealt rows: a token of a class; one that two classes of the batch hold; such a token's two witnesses.
@@ -98,7 +105,7 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, sigs, sizes = [], [], []
         for s, doc in zip(sets, batch.column("doc_id").to_pylist()):
             n = len(s)
-            if not n or doc is None or (sig := _class_of(s)) in seen:
+            if not n or doc is None or (sig := _class_of(s)[0]) in seen:
                 continue
             if len(seen) < 1_000_000:
                 seen.add(sig)
@@ -125,9 +132,11 @@ _SETS = pa.schema([("sig", pa.int64()), ("tokens", pa.binary())])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole sets of classes, under their number."""
     yield empty(_SETS)
     for batch, sets in _each(batches):
-        own = [(sig, s.tobytes()) for sig, s in zip(batch.column("sig").to_pylist(), sets) if sig == _class_of(s)]
+        asked = zip(*(batch.column(c).to_pylist() for c in ("node", "sig", "rest")))
+        own = [(node, s.tobytes()) for (node, *name), s in zip(asked, sets) if tuple(name) == _class_of(s)]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in own], f.type) for k, f in enumerate(_SETS)], schema=_SETS)
 
 
@@ -215,9 +224,12 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _several(rows: DataFrame, what: str) -> DataFrame:
-    """Rows whose token is held by more than one `what`."""
-    w = Window.partitionBy("token")
-    return rows.withColumn("_lo", F.min(what).over(w)).withColumn("_hi", F.max(what).over(w)).where("_lo <> _hi").drop("_lo", "_hi")
+    """Rows whose token is held by more than one `what`, with the number `df` of rows that hold it.
+
+    Minima are combined before the shuffle, and the join with them may be split where one token has many rows.
+    """
+    held = rows.groupBy("token").agg(F.min(what).alias("_lo"), F.max(what).alias("_hi"), F.count("*").alias("df")).where("_lo <> _hi")
+    return rows.join(held.select("token", "df"), "token")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -244,16 +256,20 @@ def _round(sets: DataFrame, keyed: DataFrame, n: int) -> DataFrame:
     return members.groupBy("bucket").applyInArrow(_solve, "a long, b long")
 
 
+def _run(f):
+    return lambda batches: at_end(f(batches))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
     docs = docs_of(docs)
-    classes = staged(docs.mapInArrow(_classes, "doc_id long, n long, sig long"))
-    firsts = classes.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("first"))
+    classes = staged(docs.mapInArrow(_run(_classes), "doc_id long, n long, sig long, rest long"))
+    firsts = classes.where("n > 0 and doc_id is not null").groupBy("sig", "rest").agg(F.min("doc_id").alias("first"), F.min("n").cast("int").alias("n"))
     overlap = F.ceil(F.col("n") * 3 / 4).cast("int")
     dealt_least = F.greatest(F.lit(1), F.floor(2 * overlap / 25).cast("int"))
 
     # classes that may have a link
-    spread = docs.mapInArrow(_deal, "token long, sig long, n int, kind int")
+    spread = docs.mapInArrow(_run(_deal), "token long, sig long, n int, kind int")
     # a token that many hold comes as two witnesses of each batch; rows known to share theirs are dealt anywhere
     lone = F.when(F.col("kind") == KNOWN, F.xxhash64("token", "sig")).otherwise(F.col("token"))
     dealt = spread.withColumn("at", lone)
@@ -261,11 +277,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("_lo", F.min("sig").over(w)).withColumn("_hi", F.max("sig").over(w))
     dealt = dealt.where((F.col("kind") == KNOWN) | (F.col("kind") == ROW) & (F.col("_lo") != F.col("_hi")))
     asked = dealt.groupBy("sig", "n").agg(F.collect_set("token").alias("dealt")).where(F.size("dealt") >= dealt_least)
-    asked = staged(asked.join(firsts, "sig"))
-    n_asked = asked.count()
-    mine, _ = only_maybe(docs, "doc_id", asked, "first", n_asked)
-    texts = mine.join(_small(asked.select(F.col("first").alias("doc_id"), "sig"), n_asked), "doc_id").select("doc_id", "text", "sig")
-    sets = staged(texts.mapInArrow(_sets, "sig long, tokens binary"))
+    named = staged(asked.join(firsts, ["sig", "n"]).withColumn("node", F.monotonically_increasing_id()))
+    n_asked = named.count()
+    mine, _ = only_maybe(docs, "doc_id", named, "first", n_asked)
+    texts = mine.join(_small(named.select(F.col("first").alias("doc_id"), "node", "sig", "rest"), n_asked), "doc_id").select("doc_id", "text", "node", "sig", "rest")
+    sets = staged(texts.mapInArrow(_run(_sets), "sig long, tokens binary"))
+    asked = named.select(F.col("node").alias("sig"), "n", "dealt")  # from here on a class goes by its number
 
     # groups by the least dealt token
     edges = staged(_round(sets, asked.select("sig", F.array_min("dealt").alias("grp")), n_asked))
@@ -276,8 +293,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     matrix = _several(asked.select("sig", "n", F.explode("dealt").alias("token")).join(_small(comp_of, n_asked), "sig"), "comp")
     suspects = staged(matrix.groupBy("sig", "n").count().where(F.col("count") >= dealt_least).select("sig").join(comp_of, "sig"))
     n_suspects = suspects.count()
-    whole = _several(sets.join(_small(suspects, n_suspects), "sig").mapInArrow(_spread, "token long, sig long, n int, comp long"), "comp")
-    whole = staged(whole.withColumn("df", F.count("*").over(Window.partitionBy("token"))))
+    whole = staged(_several(sets.join(_small(suspects, n_suspects), "sig").mapInArrow(_spread, "token long, sig long, n int, comp long"), "comp"))
     held = staged(whole.groupBy("sig", "n").agg(F.count("*").alias("shared"), *(F.min(F.xxhash64("token", F.lit(k))).alias(f"g{k}") for k in (7, 8))).where(F.col("shared") >= overlap))
     n_held = held.count()
 
@@ -286,7 +302,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     edges = staged(edges.unionByName(_round(sets.join(_small(held.select("sig"), n_held), "sig", "left_semi"), keyed, 2 * n_held)))
     solved = components(edges)
     comp_of = staged(held.select("sig", "n", "shared").join(solved.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "n", "shared", F.coalesce("comp", "sig").alias("comp")))
-    near = whole.select("token", "sig", "df").join(_small(comp_of, n_held), "sig")
+    near = whole.select("token", "sig").join(_small(comp_of.drop("shared"), n_held), "sig")
     again = _several(near, "comp").withColumn("shared", F.count("*").over(Window.partitionBy("sig"))).where(F.col("shared") >= overlap)
     rare = again.withColumn("r", F.row_number().over(Window.partitionBy("sig").orderBy("df", "token"))).where(F.col("r") <= F.col("shared") - overlap + 1)
     # groups of similar ones (one key together, as long as a group's size allows), and which of them a query opens
@@ -306,9 +322,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     late = sets.join(_small(both, both.count()), "sig").groupBy("grp", "part").applyInArrow(_open, "a long, b long")
     final = components(edges.unionByName(late))
 
-    # classes to documents
-    rooted = firsts.join(final.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "first", F.coalesce("comp", "sig").alias("comp"))
-    roots = rooted.groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = rooted.join(roots, "comp").select("sig", "component_id")
-    out = classes.join(named, "sig", "left")
+    # classes to documents; those in no component are their own
+    rooted = named.select("node", "sig", "rest", "first").join(final, "node")
+    roots = rooted.groupBy("comp").agg(F.min("first").alias("root"))
+    joined = rooted.join(roots, "comp").select("sig", "rest", "root")
+    own = firsts.join(joined, ["sig", "rest"], "left").select("sig", "rest", F.coalesce("root", "first").alias("component_id"))
+    out = classes.join(own, ["sig", "rest"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
