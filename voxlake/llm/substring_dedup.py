@@ -6,7 +6,7 @@ starts earlier (smaller doc_id, or same document and smaller start); windows are
 Plan, every step linear in the input:
 1. each document is cut at content-defined anchors: every window picks the k-word gram of least hash in it, so equal
    windows pick equal anchors; neighbouring windows with one anchor form a run (one row for about eight words). Windows
-   that repeat an earlier one of their own document are settled at once;
+   that repeat an earlier one of their own document are settled at once, once their words are compared;
 2. runs whose anchor occurs nowhere else are dropped (one shuffle on the anchor; runs whose anchor recurs within a batch
    are settled there and send one witness, so a passage that a third of the documents share stays a few rows);
 3. the surviving runs fetch their words; equal runs are pre-aggregated to (words, first place, number);
@@ -19,9 +19,10 @@ Plan, every step linear in the input:
 Exact copies of whole texts never reach steps 1 to 4: all but the first are removed as a whole, so a copied text that
 holds a third of the rows costs one row for each task.
 
-Defined results: null text counts as empty; documents shorter than the window lose nothing; rows without a doc_id are
-returned whole and remove nothing elsewhere; other columns are ignored. doc_id should be unique: rows that repeat a
-doc_id are each returned, and share the spans found for it.
+Defined results: null text counts as empty; documents shorter than the window lose nothing; whole texts are read, however
+long; rows without a doc_id are returned whole and remove nothing elsewhere; of documents with the same words the one of
+smallest doc_id keeps them; an empty table gives no rows; other columns are ignored, whatever their names. doc_id should be
+unique: rows that repeat a doc_id are each returned, and share the spans found for it.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import byte_texts, cached, docs_of, empty, pieces, staged
+from voxlake.llm.common import at_end, byte_texts, cached, docs_of, empty, pieces, staged
 from voxlake.llm.sieve import only_maybe
 
 WINDOW, GRAM = 20, 6
@@ -84,20 +85,25 @@ def rolling(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def repeated_inside(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Which windows repeat an earlier window of the same owner (document number)."""
+    """For each window the first one of the same owner (document number) with its hash; itself, where it is the first."""
     keys = hashes ^ (owner.astype(np.uint64) * _MULT)
     ordered = np.sort(keys)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    out = np.zeros(len(keys), bool)
+    out = np.arange(len(keys))
     if len(twice):
         at = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)
         places = np.flatnonzero(twice[at] == keys)
-        order = np.argsort(keys[places], kind="stable")
-        same = keys[places][order]
-        out[places[order[1:][same[1:] == same[:-1]]]] = True
+        order = places[np.argsort(keys[places], kind="stable")]
+        head = np.r_[True, keys[order][1:] != keys[order][:-1]]
+        out[order] = order[head][np.cumsum(head) - 1]
     return out
 
 
+def same_words(words: list[bytes], first: int, later: int, n: int, window: int) -> bool:
+    """Whether n windows from `later` on hold the words of those from `first` on."""
+    return words[first : first + n + window - 1] == words[later : later + n + window - 1]
+
+
 def least_places(values: np.ndarray, width: int) -> np.ndarray:
     """Where each stretch of `width` values has its least one (high 40 bits count, then the place)."""
     n = len(values) - width + 1
@@ -117,7 +123,7 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
 
 def runs_of(hashes: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     """Of concatenated documents: (anchor, document number, first window, windows) of runs, and the last three of spans
-    of windows that repeat earlier ones of their document."""
+    of windows that seem to repeat earlier ones of their document, with the first of these."""
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
     counts = np.maximum(sizes - window + 1, 0)
     total = int(counts.sum())
@@ -127,10 +133,11 @@ def runs_of(hashes: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tu
     n = max(0, len(hashes) - window + 1)
     if not total:
         none = np.zeros(0, np.int64)
-        return (none.view(np.uint64), none, none, none), (none, none, none)
+        return (none.view(np.uint64), none, none, none), (none, none, none, none)
     grams = rolling(hashes, gram)
     at = least_places(grams, window - gram + 1)
-    again = repeated_inside(rolling(hashes, window)[place], owner)
+    source = repeated_inside(rolling(hashes, window)[place], owner)
+    again = source != np.arange(total)
 
     def grouped(rows: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cut = np.flatnonzero(np.r_[True, breaks | (np.diff(local[rows]) != 1) | (np.diff(owner[rows]) != 0)]) if len(rows) else np.zeros(0, int)
@@ -139,8 +146,20 @@ def runs_of(hashes: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tu
     rows = np.flatnonzero(~again)
     first, many, _ = grouped(rows, np.diff(at[place[rows]]) != 0)
     spans = np.flatnonzero(again)
-    begin, long, _ = grouped(spans, np.zeros(max(0, len(spans) - 1), bool))
-    return (grams[at[place[first]]], owner[first], local[first], many), (owner[begin], local[begin], long)
+    begin, long, _ = grouped(spans, np.diff(source[spans]) != 1)
+    return (grams[at[place[first]]], owner[first], local[first], many), (owner[begin], local[begin], long, local[source[begin]])
+
+
+def singles(split: dict[int, list[bytes]], owner: np.ndarray, lo: np.ndarray, n: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Windows of spans as runs of one window each, anchored like any other by their gram of least hash."""
+    rows = [(d, j) for d, a, m in zip(owner.tolist(), lo.tolist(), n.tolist()) for j in range(a, a + m)]
+    anchors = []
+    for d, j in rows:
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in split[d][j : j + window]], np.uint64)
+        grams = rolling(hashes, gram)
+        anchors.append(grams[least_places(grams, window - gram + 1)[0]])
+    d, j = np.array(rows, np.int64).reshape(-1, 2).T
+    return np.array(anchors, np.uint64), d, j, np.ones(len(rows), np.int64)
 
 
 #: Kinds of scanned rows: a run; a run whose anchor recurs among the documents at hand; such an anchor once, as a witness
@@ -158,7 +177,7 @@ def _scan(window: int, gram: int):
         cache, seen = _shared_hashes(), {}
         for whole in batches:
             for batch in pieces(whole):
-                ids, arrays, every, keys = [], [], [], []
+                ids, arrays, every, keys, texts = [], [], [], [], []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), byte_texts(batch)):
                     key = xxhash.xxh3_128_digest(text)
                     if doc is not None:
@@ -171,13 +190,20 @@ def _scan(window: int, gram: int):
                     words = text.split()
                     if len(words) >= window:
                         ids.append(doc)
+                        texts.append(text)
                         arrays.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
                 parts = np.frombuffer(b"".join(keys), "<i4").reshape(-1, 4)
                 yield _rows(np.ascontiguousarray(parts[:, :2]).view("<i8").ravel(), np.array(every, np.int64), parts[:, 2], parts[:, 3], np.full(len(every), TEXT))
                 if not ids:
                     continue
                 docs = np.array(ids)
-                (anchor, owner, lo, n), (owner2, lo2, n2) = runs_of(np.concatenate(arrays), np.array(list(map(len, arrays))), window, gram)
+                (anchor, owner, lo, n), (owner2, lo2, n2, first2) = runs_of(np.concatenate(arrays), np.array(list(map(len, arrays))), window, gram)
+                split = {d: texts[d].split() for d in set(owner2.tolist())}
+                true = np.array([same_words(split[d], f, l, m, window) for d, f, l, m in zip(*(c.tolist() for c in (owner2, first2, lo2, n2)))], bool)
+                if not true.all():  # one hash for different words: these windows go on as runs of their own
+                    extra = singles(split, owner2[~true], lo2[~true], n2[~true], window, gram)
+                    anchor, owner, lo, n = (np.concatenate(c) for c in zip((anchor, owner, lo, n), extra))
+                    owner2, lo2, n2 = owner2[true], lo2[true], n2[true]
                 anchor = anchor.view(np.int64)
                 found, first, which, times = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
                 yield _rows(anchor, docs[owner], lo, n, np.where(times[which] > 1, KNOWN, RUN))
@@ -340,7 +366,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
     different surroundings than that is split into its windows.
     """
     docs = docs_of(docs)
-    scanned = staged(docs.mapInArrow(_scan(window, gram), "anchor long, doc_id long, lo int, n int, kind int"))
+    scanned = staged(docs.mapInArrow(lambda batches: at_end(_scan(window, gram)(batches)), "anchor long, doc_id long, lo int, n int, kind int"))
     near = Window.partitionBy("anchor").orderBy("doc_id", "lo")
     lone = scanned.where(F.col("kind").isin(RUN, WITNESS)).withColumn("before", F.lag("lo").over(near)).withColumn("after", F.lead("lo").over(near))
     lone = lone.where(F.col("kind") == RUN).where("before is not null or after is not null").select("doc_id", "anchor", "lo", "n")
