@@ -7,12 +7,17 @@ be longer, so that plain words, numbers and identifiers stay clean. A run is jud
 random, by its parts between / = _ -, so that a path in front does not hide a key; neighbouring parts that are all
 compressed badly are judged together first. A random span inside a base span is not repeated.
 
-Defined results: null text counts as empty; every row of the input is returned; offsets are code points, end exclusive.
+Defined results: null text counts as empty; every row of the input is returned, rows that repeat a doc_id each by its own
+text; whole texts are read, and a run is judged whole however long; spans that begin together stand in the order of KINDS;
+an empty table gives no rows; other columns are ignored by `find_secrets` and carried by `redact_secrets`; offsets are code
+points, end exclusive.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import bounded_batches, cached, docs_of, empty, pieces
+from voxlake.llm.common import at_end, bounded_batches, cached, docs_of, empty, pieces
 
 KINDS = ("assign", "access", "hex", "random")
 #: Fixed values of the base patterns.
@@ -37,7 +42,7 @@ LEAST, LEAST_RUN, LEAST_LETTERS = 12, 16, 16
 LETTERS, LEAST_PART = 0.85, 8
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 PART = re.compile(r"[A-Za-z0-9+]+")
-UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])")
 ONLY_HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
@@ -58,7 +63,7 @@ class Scanner:
         self.ratio = ratio
 
     def random(self, run: str) -> bool:
-        if not _LETTER.search(run) or UUID.fullmatch(run) or (len(run) in DIGESTS and ONLY_HEX.fullmatch(run)):
+        if not _LETTER.search(run) or (len(run) in DIGESTS and ONLY_HEX.fullmatch(run)):
             return False
         ratio = self.ratio
         if not _DIGIT.search(run):
@@ -68,16 +73,26 @@ class Scanner:
         return len(run) < ratio * len(self.encoding.encode_ordinary(run))
 
     def randoms(self, run: str) -> list[tuple[int, int]]:
-        """(start, end) of what is random in a run."""
+        """(start, end) of what is random in a run; identifiers are cut out first."""
+        at, found = 0, []
+        for m in UUID.finditer(run):
+            found += self._judged(run, at, m.start())
+            at = m.end()
+        return found + self._judged(run, at, len(run))
+
+    def _judged(self, text: str, begin: int, end: int) -> list[tuple[int, int]]:
+        run = text[begin:end]
+        return [(begin + a, begin + b) for a, b in self._random_parts(run)] if len(run) >= LEAST else []
+
+    def _random_parts(self, run: str) -> list[tuple[int, int]]:
         parts = [m.span() for m in PART.finditer(run)]
         if (len(run) >= LEAST_RUN or len(parts) == 1) and self.random(run):
             return [(0, len(run))]
         if parts == [(0, len(run))]:
             return []
-        known = [m.span() for m in UUID.finditer(run)]
         groups: list[list[tuple[int, int]]] = [[]]  # neighbours that the vocabulary compresses badly, however short
         for a, b in parts:
-            bad = b - a < self.ratio * len(self.encoding.encode_ordinary(run[a:b])) and not any(x < b and a < y for x, y in known)
+            bad = b - a < self.ratio * len(self.encoding.encode_ordinary(run[a:b]))
             groups[-1].append((a, b)) if bad else groups.append([])
         found = []
         for group in filter(None, groups):
@@ -97,12 +112,14 @@ class Scanner:
             spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
         spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
         base = sorted((a, b) for a, _, b in spans)
+        begins, reach = [a for a, _ in base], list(itertools.accumulate((b for _, b in base), max))
         for m in CANDIDATE.finditer(text):
             if len(m[0]) < LEAST_LETTERS and m[0].isalpha() and written(m[0]):  # most long words
                 continue
             for a, b in self.randoms(m[0]):
                 a, b = m.start() + a, m.start() + b
-                if not any(x <= a and b <= y for x, y in base):
+                k = bisect.bisect_right(begins, a)
+                if not (k and reach[k - 1] >= b):
                     spans.append((a, 3, b))
         spans.sort()
         return spans
@@ -126,7 +143,7 @@ def find_secrets(docs: DataFrame, path: str, ratio: float = 2.0) -> DataFrame:
                 found = [[{"start": a, "kind": KINDS[k], "end": b} for a, k, b in scan(t)] for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, _SPANS.field(1).type)], schema=_SPANS)
 
-    return docs_of(docs).mapInArrow(run, "doc_id long, spans array<struct<start: long, kind: string, end: long>>")
+    return docs_of(docs).mapInArrow(lambda batches: at_end(run(batches)), "doc_id long, spans array<struct<start: long, kind: string, end: long>>")
 
 
 def joined(spans: Column) -> Column:
@@ -168,4 +185,4 @@ def redact_secrets(docs: DataFrame, path: str, ratio: float = 2.0, mask: str = "
                     columns[k] = pa.array(lengths, batch.schema.field(k).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: at_end(run(batches)), schema)
