@@ -5,8 +5,10 @@ paths; each path is a conjunctive rule; lasso logistic regression keeps a few ru
 compiled back into one Spark column expression, so scoring runs inside the JVM over any number of documents.
 
 Only the text is an input of a score. Defined results: null and empty texts have zero statistics and get the score
-which the rules give those; every row of docs is returned; labels that are null are not learned from; when no labelled
-row of both kinds exists, the score is the share of good labels, or 0.5 without any.
+which the rules give those; whole texts count, however long; every row of docs is returned, rows that repeat a doc_id each
+by its own text (the least text of a doc_id is learned from, once for each of its labels); labels that are null are not
+learned from; when no labelled row of both kinds exists, the score is the share of good labels, or 0.5 without any; an empty
+table gives no rows; other columns of both tables are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -106,8 +108,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000)
     """
     docs = docs_of(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").where(~held_out(F.col("doc_id")))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
-    read = with_statistics(docs.join(F.broadcast(sample), "doc_id")).select(*NAMES, "quality").toPandas()
+    sample = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
+    learned = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    read = with_statistics(learned).select(*NAMES, "quality").toPandas()  # at most sample_rows rows of numbers
     bias, rules = fit_rules(read[list(NAMES)].to_numpy(float), read["quality"].to_numpy(float))
     scored = with_statistics(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), compiled(bias, rules).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
