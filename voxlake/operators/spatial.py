@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import itertools
+import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.functions.vectors import dot, squared_distance
+from voxlake.functions.vectors import squared_distance
 
 
 def celled(points: DataFrame, axes: tuple[str, ...], edge: float) -> DataFrame:
@@ -31,17 +35,84 @@ def radius_pairs(points: DataFrame, axes: tuple[str, ...], radius: float, id_col
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d2")
 
 
-def blocked_pairs(vectors: DataFrame, near: Column, id_col: str = "vec_id", vec_col: str = "embedding", blocks: int = 8) -> DataFrame:
-    """(a, b, dot), a < b, of high-dimensional vectors for which `near` holds, over blocks of rows against blocks of rows.
+def within(left: DataFrame, right: DataFrame, axes: dict[str, str], radius: float) -> DataFrame:
+    """Rows of left with the rows of right within the radius, and d2; axes: columns of left by columns of right.
 
-    No grid helps in many dimensions; every block pair is one key of an equi-join, so that memory for a task stays a block
-    pair whatever the table holds.
+    Both go to cells as wide as the radius; a row of left meets its own cell and all neighbours in an equi-join on the cell.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("k").alias("ka"), F.col("o").alias("kb"))
-    right = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("k").alias("kb"), F.col("o").alias("ka"))
-    met = left.join(right, ["ka", "kb"]).where("a < b").withColumn("dot", dot(F.col("va"), F.col("vb")))
-    return met.where(near).select("a", "b", "dot")
+    cells = [f"_k{i}" for i in range(len(axes))]
+    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
+    moves = F.explode(F.array(*(F.struct(*(F.lit(d).alias(c) for c, d in zip(cells, o))) for o in itertools.product((-1, 0, 1), repeat=len(axes)))))
+    near = left.withColumn("_m", moves).withColumns({c: cell(a) + F.col(f"_m.{c}") for c, a in zip(cells, axes)})
+    met = near.drop("_m").join(right.withColumns({c: cell(b) for c, b in zip(cells, axes.values())}), cells).drop(*cells)
+    d2 = sum(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in axes.items()), F.lit(0.0))
+    return met.withColumn("d2", d2).where(F.col("d2") <= radius * radius)
+
+
+#: Components that a block of vectors may hold in a task, about 16 MB as doubles.
+BLOCK_NUMBERS = 1 << 21
+
+
+def _block_pairs(vectors: DataFrame, id_col: str, vec_col: str, names: str, both: bool, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]]) -> DataFrame:
+    """kernel(ids, matrix, ids, matrix) over pairs of blocks of rows; both: every ordered pair of blocks, else the upper half.
+
+    No grid helps in many dimensions. The number of blocks follows the table, so a task holds two blocks whatever that holds;
+    a block is sent once for each of its partners.
+    """
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v")).where("id is not null and v is not null")
+    n, dims = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    blocks = max(1, math.ceil(n * max(1, dims or 1) / BLOCK_NUMBERS))
+    rows = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    first, last = F.lit(0), F.lit(blocks - 1)
+    left = rows.withColumn("o", F.explode(F.sequence(first if both else F.col("k"), last))).select(F.col("k").alias("p"), F.col("o").alias("q"), F.col("id").alias("ia"), F.col("v").alias("va"))
+    right = rows.withColumn("o", F.explode(F.sequence(first, last if both else F.col("k")))).select(F.col("o").alias("p"), F.col("k").alias("q"), F.col("id").alias("ib"), F.col("v").alias("vb"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = kernel(a["ia"].to_numpy(), np.stack(a["va"].to_list()), b["ib"].to_numpy(), np.stack(b["vb"].to_list())) if len(a) and len(b) else ([], [], [])
+        return pd.DataFrame(dict(zip("ab", found[:2])) | {"dot": found[2]}, columns=["a", "b", "dot"])
+
+    return left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(run, names)
+
+
+def blocked_pairs(vectors: DataFrame, least: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(a, b, dot), a < b, of vectors whose inner product is at least `least`: products of blocks, of the upper half only."""
+
+    def kernel(ia: np.ndarray, a: np.ndarray, ib: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        same = len(ia) == len(ib) and set(ia.tolist()) == set(ib.tolist())
+        i, j, d = [], [], []
+        for at in range(0, len(a), 512):
+            dots = a[at : at + 512] @ b.T
+            x, y = np.nonzero(dots >= least)
+            x, y, dots = x + at, y, dots[x, y]
+            keep = ia[x] < ib[y] if same else ia[x] != ib[y]
+            i.append(np.minimum(ia[x], ib[y])[keep]), j.append(np.maximum(ia[x], ib[y])[keep]), d.append(dots[keep])
+        return tuple(map(np.concatenate, (i, j, d)))
+
+    return _block_pairs(vectors, id_col, vec_col, "a long, b long, dot double", False, kernel)
+
+
+def nearest_vectors(vectors: DataFrame, k: int, digits: int = 9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(a, b, dot, rank): the k largest inner products (rounded to `digits`) of each vector with others, ties to the smaller b.
+
+    Each pair of blocks gives its k best for each row, so the ranking sees k rows for each row and block, not all pairs.
+    """
+
+    def kernel(ia: np.ndarray, a: np.ndarray, ib: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(ib)
+        ib, b = ib[order], b[order]
+        i, j, d = [], [], []
+        for at in range(0, len(a), 512):
+            dots = np.round(a[at : at + 512] @ b.T, digits)
+            dots[ia[at : at + 512, None] == ib[None]] = -np.inf
+            best = np.argsort(-dots, axis=1, kind="stable")[:, :k]
+            value = np.take_along_axis(dots, best, 1)
+            keep = np.isfinite(value)
+            i.append(np.broadcast_to(ia[at : at + 512, None], best.shape)[keep]), j.append(ib[best][keep]), d.append(value[keep])
+        return tuple(map(np.concatenate, (i, j, d)))
+
+    found = _block_pairs(vectors, id_col, vec_col, "a long, b long, dot double", True, kernel)
+    order = Window.partitionBy("a").orderBy(F.desc("dot"), "b")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -61,13 +132,6 @@ def mutual(neighbours: DataFrame) -> DataFrame:
     return neighbours.join(other, ["a", "b"], "left_semi").where("a < b")
 
 
-def corridor(representatives: DataFrame, vector: str, least: float, id_col: str = "label") -> DataFrame:
-    """Pairs of few representatives (one for each label) whose distance is at least `least`."""
-    a = representatives.select(F.col(id_col).alias("a"), F.col(vector).alias("va"))
-    b = representatives.select(F.col(id_col).alias("b"), F.col(vector).alias("vb"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).withColumn("distance", F.sqrt(squared_distance(F.col("va"), F.col("vb")))).where(F.col("distance") >= least).select("a", "b", "distance")
-
-
 def covered_by(tiles: DataFrame, windows: DataFrame, size: int, bucket: int) -> DataFrame:
     """Interval join of tiles [t0, t1) with windows [s, s + size): both go to the buckets they touch."""
     to = lambda lo, hi: F.explode(F.sequence(F.floor(lo / bucket).cast("long"), F.floor((hi - 1) / bucket).cast("long")))

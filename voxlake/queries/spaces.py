@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxlake.functions.vectors import centroids as centroids_of
 from voxlake.functions.vectors import dot, mutual_weight, slab_log_score
-from voxlake.operators import clusters, graph, spatial
+from voxlake.operators import clusters, edits, graph, spatial
 from voxlake.queries.registry import query
 from voxlake.sources.tables import table
 
@@ -22,7 +22,7 @@ PAIRS = f"""pairs AS (
 
 
 def _pairs(spark: SparkSession, sf: str, least: float = NEAR) -> DataFrame:
-    return spatial.blocked_pairs(table(spark, sf, "embeddings"), F.col("dot") >= least)
+    return spatial.blocked_pairs(table(spark, sf, "embeddings"), least)
 
 
 @query(f"WITH {PAIRS} SELECT a, b, round(dot, 6) AS dot FROM pairs WHERE dot >= {NEAR}")
@@ -50,7 +50,7 @@ near AS (SELECT a, b, round(dot, 9) AS dot, row_number() OVER (PARTITION BY a OR
 
 
 def _knn(spark: SparkSession, sf: str) -> DataFrame:
-    return spatial.nearest(_pairs(spark, sf, -2.0).withColumn("dot", F.round("dot", 9)), 5, F.desc("dot"))
+    return spatial.nearest_vectors(table(spark, sf, "embeddings"), 5)
 
 
 @query(f"WITH {KNN} SELECT a, b, rank, round(dot, 6) AS dot FROM near")
@@ -104,18 +104,14 @@ def centroids(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("label", F.posexplode("centroid").alias("i", "m")).select("label", "i", F.round("m", 6).alias("m"))
 
 
-@query(f"""
-WITH {CENTROIDS}, p AS (
-  SELECT a.label AS a, b.label AS b, sqrt(sum((a.m - b.m) ** 2)) AS d FROM cent a JOIN cent b ON a.i = b.i AND a.label < b.label GROUP BY ALL)
-SELECT a, b, round(d, 6) AS distance FROM p WHERE d >= 0.15""")
-def corridor_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    c = centroids_of(table(spark, sf, "embeddings"), "label", "embedding")
-    return spatial.corridor(c, "centroid", 0.15).select("a", "b", F.round("distance", 6).alias("distance"))
-
-
-@query("SELECT label, max(vec_id) AS last_id, count(*) AS n FROM embeddings GROUP BY label")
+@query("""
+WITH l AS (SELECT o_custkey AS unit, max(o_custkey % 7) AS label FROM orders GROUP BY o_custkey)
+SELECT c_custkey AS unit, coalesce(label, -1) AS label FROM customer LEFT JOIN l ON unit = c_custkey""")
 def per_unit_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").groupBy("label").agg(F.max("vec_id").alias("last_id"), F.count("*").alias("n"))
+    """The label of each unit's points (one by construction); -1 for a unit without points."""
+    units = table(spark, sf, "customer").select(F.col("c_custkey").alias("unit"))
+    points = table(spark, sf, "orders").select(F.col("o_custkey").alias("unit"), (F.col("o_custkey") % 7).alias("label"))
+    return edits.unit_labels(units, points)
 
 
 @query(f"""
@@ -166,15 +162,6 @@ def ordinal_runs(spark: SparkSession, sf: str) -> DataFrame:
     return o.where("l3 is not null")
 
 
-@query("""
-WITH p AS (SELECT label, count(*) AS n, avg(embedding[1]::DOUBLE) AS cz, avg(embedding[2]::DOUBLE) AS cy FROM embeddings GROUP BY label)
-SELECT label, round(cz, 6) AS cz, round(cy, 6) AS cy, n FROM p""")
-def normal_grid(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    at = lambda k: F.get("embedding", k).cast("double")
-    return e.groupBy("label").agg(F.round(F.avg(at(0)), 6).alias("cz"), F.round(F.avg(at(1)), 6).alias("cy"), F.count("*").alias("n"))
-
-
 @query(f"""SELECT vec_id, round(sqrt({DOT.format(a='embedding', b='embedding')}), 6) AS norm FROM embeddings""")
 def vector_norms(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", F.round(F.sqrt(dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
