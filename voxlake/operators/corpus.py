@@ -28,6 +28,17 @@ def deleted(base: DataFrame, gone: DataFrame, keys: tuple[str, ...]) -> DataFram
     return base.join(gone.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def windows_held(manifest: DataFrame, asked: DataFrame, keys: tuple[str, ...] = ("scroll", "level", "z", "y", "x")) -> DataFrame:
+    """asked with `held`: whether the manifest has the window."""
+    known = manifest.select(*keys).distinct().withColumn("_h", F.lit(True))
+    return asked.join(known, list(keys), "left").withColumn("held", F.coalesce("_h", F.lit(False))).drop("_h")
+
+
+def imported(base: DataFrame, other: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """base with the entries of `other` that ids name on top, byte for byte."""
+    return upserted(base, other.join(ids.select(key).distinct(), key, "left_semi").select(*base.columns), (key,))
+
+
 def gated(scores: DataFrame, key: str, score: str, least: float, count: int) -> DataFrame:
     """Keys with at least `count` scores of `least` or more."""
     return scores.groupBy(key).agg(F.count_if(F.col(score) >= least).alias("passing")).where(F.col("passing") >= count)
@@ -75,12 +86,6 @@ def relabelled(df: DataFrame, label: str, ids: list[int]) -> DataFrame:
     return df.withColumn(label, F.when(F.col(label).isin(ids), F.lit(ids[0])).otherwise(F.col(label)))
 
 
-def split_label(df: DataFrame, label: str, which: int, side: Column) -> DataFrame:
-    """The far side of one label gets a new one, one above the largest."""
-    top = df.agg(F.max(label).alias("_m"))
-    return df.crossJoin(F.broadcast(top)).withColumn(label, F.when((F.col(label) == which) & side, F.col("_m") + 1).otherwise(F.col(label))).drop("_m")
-
-
 def surface_label(magnitude: Column, score: Column, weight: Column, crest: float = 0.91, ignore: float = 0.8) -> Column:
     """0 background, 1 surface, 2 ignore: doubt about the sheet or about the place overrides the surface."""
     return F.when(score < ignore, 2).when((magnitude >= crest) & (weight < 0.5), 2).when(magnitude >= crest, 1).otherwise(0)

@@ -33,9 +33,27 @@ def smooth(v: np.ndarray, sigma: float) -> np.ndarray:
     return v
 
 
+def slope_kernel(sigma: float, reach: float = 4.0) -> np.ndarray:
+    """The derivative of a Gaussian; along() with it gives the slope of the smoothed values."""
+    r = max(1, int(reach * sigma + 0.5))
+    return gaussian_kernel(sigma, reach) * np.arange(-r, r + 1) / sigma**2
+
+
+def slopes(v: np.ndarray, sigma: float) -> list[np.ndarray]:
+    """Derivatives along each axis, by the derivative of a Gaussian there and a Gaussian along the others."""
+    g, d = gaussian_kernel(sigma), slope_kernel(sigma)
+    out = []
+    for axis in range(v.ndim):
+        s = v.astype(float)
+        for other in range(v.ndim):
+            s = along(s, d if other == axis else g, other)
+        out.append(s)
+    return out
+
+
 def structure_tensor(v: np.ndarray, sigma_grad: float = 1.0, sigma_tensor: float = 4.0) -> dict[str, np.ndarray]:
     """normal (largest eigenvector), fibre (smallest), coherence = 1 - least / largest eigenvalue, of smoothed gradients."""
-    g = np.gradient(smooth(v.astype(float), sigma_grad))
+    g = slopes(v, sigma_grad)
     t = np.empty((*v.shape, 3, 3))
     for i in range(3):
         for j in range(i, 3):
@@ -44,6 +62,18 @@ def structure_tensor(v: np.ndarray, sigma_grad: float = 1.0, sigma_tensor: float
     return {"normal": vectors[..., 2], "fibre": vectors[..., 0], "coherence": 1 - values[..., 0] / np.maximum(values[..., 2], 1e-12)}
 
 
+def orientation(v: np.ndarray, sigma_grad: float = 1.0, sigma_tensor: float = 3.0, eps: float = 1e-6) -> np.ndarray:
+    """Structure tensors over their trace, as (zz, yy, xx, zy, zx, yx): no sign, no eigenvectors."""
+    g = slopes(v, sigma_grad)
+    t = np.stack([smooth(g[i] * g[j], sigma_tensor) for i, j in ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2))], -1)
+    return t / (t[..., :3].sum(-1, keepdims=True) + eps)
+
+
+def mask_coherence(mask: np.ndarray, sigma: float = 1.0, sigma_tensor: float = 4.0) -> np.ndarray:
+    """Coherence of the surfaces of a binary mask: near 1 where they turn slowly, low where they are ragged or merge."""
+    return structure_tensor(smooth(mask * 255.0, sigma), 1.0, sigma_tensor)["coherence"]
+
+
 def local_period(v: np.ndarray, sigma_grad: float = 1.0, sigma_tensor: float = 4.0) -> np.ndarray:
     """2 pi over the frequency that second and first derivatives along the normal give."""
     n = structure_tensor(v, sigma_grad, sigma_tensor)["normal"]
@@ -97,7 +127,8 @@ def soft_skeleton(v: np.ndarray, iters: int) -> np.ndarray:
     out = np.zeros_like(v)
     for _ in range(iters + 1):
         low = pool(v, np.minimum)
-        out = np.maximum(out, np.maximum(v - pool(low, np.maximum), 0))
+        rest = np.maximum(v - pool(low, np.maximum), 0)
+        out = out + np.maximum(rest - out * rest, 0)
         v = low
     return out
 
@@ -118,10 +149,18 @@ def trilinear(field: np.ndarray, p: np.ndarray) -> np.ndarray:
     return out
 
 
-def traced(fibre: np.ndarray, gate: np.ndarray, stride: int = 5, step: float = 1.0, most: int = 60, seed_least: float = 0.1, least: float = 0.05, gaps: int = 8) -> list[np.ndarray]:
-    """Streamlines of a sign-free direction field by midpoint steps; all seeds advance together."""
-    grid = np.stack(np.meshgrid(*(np.arange(0, n, stride) for n in gate.shape), indexing="ij"), -1).reshape(-1, 3).astype(float)
+def traced(fibre: np.ndarray, gate: np.ndarray, stride: int = 5, step: float = 1.0, most: int = 60, seed_least: float = 0.1, least: float = 0.05, gaps: int = 8, layers: slice = slice(None), plane: np.ndarray | None = None) -> list[np.ndarray]:
+    """Streamlines of a sign-free direction field by midpoint steps; all seeds advance together.
+
+    layers: where seeds may lie along the first axis. plane: normals; a line then stays in the plane of the fibre and the
+    normal at its seed, as sheets are traced in 2.5 dimensions.
+    """
+    grid = np.stack(np.meshgrid(np.arange(gate.shape[0])[layers][::stride], *(np.arange(0, n, stride) for n in gate.shape[1:]), indexing="ij"), -1).reshape(-1, 3).astype(float)
     seeds = grid[trilinear(gate, grid) >= seed_least]
+    frozen = None
+    if plane is not None:
+        frozen = np.cross(trilinear(plane, seeds), trilinear(fibre, seeds))
+        frozen /= np.maximum(np.linalg.norm(frozen, axis=1, keepdims=True), 1e-9)
     halves = []
     for sign in (1.0, -1.0):
         p, before, alive, misses = seeds.copy(), sign * trilinear(fibre, seeds), np.ones(len(seeds), bool), np.zeros(len(seeds), int)
@@ -129,6 +168,8 @@ def traced(fibre: np.ndarray, gate: np.ndarray, stride: int = 5, step: float = 1
         for _ in range(most):
             def heading(q: np.ndarray) -> np.ndarray:
                 d = trilinear(fibre, q)
+                if frozen is not None:
+                    d = d - (d * frozen).sum(1, keepdims=True) * frozen
                 d = d / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-9)
                 return np.where((d * before).sum(1, keepdims=True) < 0, -d, d)
 
@@ -153,15 +194,18 @@ def traced(fibre: np.ndarray, gate: np.ndarray, stride: int = 5, step: float = 1
     return lines
 
 
-def over_blocks(blocks: DataFrame, kernel: Callable[[np.ndarray], dict[str, float]], columns: str) -> DataFrame:
-    """(block_id, ...) from a kernel that turns a block into named numbers."""
+def over_blocks(blocks: DataFrame, kernel: Callable[[np.ndarray, slice], dict[str, float]], columns: str, layers: int = 12) -> DataFrame:
+    """(block_id, ...) from a kernel that turns a block and the slice of its own layers into named numbers.
+
+    `skip` layers before its own `layers`, and those after, are the halo: the kernel sees them, the numbers leave them out.
+    """
     names = [c.split()[0] for c in columns.split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):
-                found = kernel(np.frombuffer(r.data, "<f4").reshape(r.dz, r.dy, r.dx))
+                found = kernel(np.frombuffer(r.data, "<f4").reshape(r.dz, r.dy, r.dx), slice(r.skip, r.skip + layers))
                 rows.append((r.block_id, *(found[n] for n in names)))
             yield pd.DataFrame(rows, columns=["block_id", *names])
 

@@ -96,11 +96,3 @@ def splat(points: DataFrame, value: Column) -> DataFrame:
     """(z, y, x, s, n): sums and counts of points in the cell they round to."""
     cells = [F.rint(f"p{a}").cast("long").alias(a) for a in "zyx"]
     return points.groupBy(*cells).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-
-
-def soft_skeleton(df: DataFrame, keys: tuple[str, ...] = ("y", "x"), value: str = "v") -> DataFrame:
-    """One step of the soft skeleton: value minus its opening (least, then greatest of the 3 x 3 cells around)."""
-    around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    least = shifted(df.select(*keys, value), around, keys).join(df.select(*keys), list(keys), "left_semi").groupBy(*keys).agg(F.min(value).alias("e"))
-    opened = shifted(least, around, keys).join(df.select(*keys), list(keys), "left_semi").groupBy(*keys).agg(F.max("e").alias("o"))
-    return df.join(opened, list(keys)).select(*keys, F.greatest(F.col(value) - F.col("o"), F.lit(0)).alias("skeleton"))

@@ -22,11 +22,6 @@ def recall_of(df: DataFrame, keys: tuple[str, ...], p: str, mark: str) -> DataFr
     return df.groupBy(*keys).agg((1 - F.sum(F.col(p) * F.col(mark)) / F.greatest(F.sum(mark), F.lit(1e-6))).alias("loss"))
 
 
-def gap_penalty(df: DataFrame, keys: tuple[str, ...], p: str, gap: str) -> DataFrame:
-    """Mean of p where a gap should be."""
-    return df.where(F.col(gap) == 1).groupBy(*keys).agg(F.avg(p).alias("loss"))
-
-
 def material_prob(v: Column, tau: float, scale: float) -> Column:
     return 1 / (1 + F.exp(-(v - tau) / scale))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxlake.queries import catalogs, details, grids, lines, sheets, spaces
+from voxlake.queries import catalogs, details, grids, lines, regions, sheets, spaces, streamlines
 from voxlake.queries.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalogs", "details", "grids", "lines", "sheets", "spaces"]
+__all__ = ["ORACLES", "QUERIES", "catalogs", "details", "grids", "lines", "regions", "sheets", "spaces", "streamlines"]

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.functions.vectors import sigmoid
-from voxlake.operators import fields, grids, histogram, losses
+from voxlake.operators import fields, grids, histogram, losses, regions
 from voxlake.operators.graph import maximin_losses
 from voxlake.plans import refine, tiling
 from voxlake.queries.registry import query
-from voxlake.sources import catalog, demo
+from voxlake.sources import catalog, demo, store
 from voxlake.sources.tables import plane, table, voxels
 
 VOX = """vox AS (
@@ -82,9 +81,9 @@ def box_scan(spark: SparkSession, sf: str) -> DataFrame:
     return grids.box(voxels(spark, sf), z=(3, 9), y=(10, 40), x=(0, 20)).select("z", "y", "x", "v")
 
 
-@query(f"WITH {VOX} SELECT x AS z, z AS y, y AS x, v FROM vox WHERE x < 8")
+@query(f"WITH {VOX} SELECT x AS z, z AS y, y AS x, v FROM vox")
 def oriented_view(spark: SparkSession, sf: str) -> DataFrame:
-    return grids.oriented(grids.box(voxels(spark, sf), x=(0, 8)), "xzy").select("z", "y", "x", "v")
+    return grids.oriented(voxels(spark, sf), "xzy").select("z", "y", "x", "v")
 
 
 @query(f"""
@@ -184,34 +183,56 @@ def tta_average(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH {VOX}, l AS (SELECT z, y, x, v % 4 AS label FROM vox WHERE z < 12 AND v % 4 > 0),
+WITH {VOX}, l AS (SELECT z, y, x, v % 4 AS label FROM vox WHERE v % 4 > 0),
 o AS (SELECT * FROM (VALUES (0, 1, 0, 0), (1, 0, 1, 0), (2, 0, 0, 1), (3, 0, 3, 0)) t(c, dz, dy, dx))
 SELECT c, count(*) AS edges, sum((a.label = b.label)::INTEGER)::BIGINT AS same
 FROM l a JOIN o ON true JOIN l b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY c""")
 def affinity_target(spark: SparkSession, sf: str) -> DataFrame:
-    labels = grids.box(voxels(spark, sf), z=(0, 12)).select("z", "y", "x", (F.col("v") % 4).alias("label"))
+    labels = voxels(spark, sf).select("z", "y", "x", (F.col("v") % 4).alias("label"))
     found = grids.affinity_target(labels, [(1, 0, 0), (0, 1, 0), (0, 0, 1), (0, 3, 0)])
     return found.groupBy("c").agg(F.count("*").alias("edges"), F.sum("aff").alias("same"))
 
 
 @query(f"""
-WITH {PLANE}, l AS (SELECT y, x, v % 5 AS label FROM plane WHERE x < 120),
+WITH {PLANE}, l AS (SELECT y, x, v % 5 AS label FROM plane),
 o AS (SELECT i AS dy, j AS dx FROM range(-2, 3) a(i), range(-2, 3) b(j) WHERE abs(i) + abs(j) <= 2)
 SELECT (y + dy)::BIGINT AS y, (x + dx)::BIGINT AS x FROM l, o WHERE label = 1
 INTERSECT SELECT (y + dy)::BIGINT, (x + dx)::BIGINT FROM l, o WHERE label = 2""")
 def interface_band(spark: SparkSession, sf: str) -> DataFrame:
-    labels = grids.box(plane(spark, sf), x=(0, 120)).select("y", "x", (F.col("v") % 5).alias("label"))
+    labels = plane(spark, sf).select("y", "x", (F.col("v") % 5).alias("label"))
     return grids.interface_band(labels, 1, 2, 2)
 
 
+AROUND = "o AS (SELECT i AS dy, j AS dx FROM range(-1, 2) a(i), range(-1, 2) b(j))"
+
+
+def _opened(name: str, source: str) -> str:
+    return f"""{name}e AS (SELECT a.y, a.x, min(b.v) AS v FROM {source} a, o JOIN {source} b ON b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL),
+{name}o AS (SELECT a.y, a.x, max(b.v) AS o FROM {name}e a, o JOIN {name}e b ON b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL),
+{name}d AS (SELECT y, x, greatest(v - o, 0) AS d FROM {source} JOIN {name}o USING (y, x))"""
+
+
 @query(f"""
-WITH {PLANE}, g AS (SELECT * FROM plane WHERE x < 200),
-o AS (SELECT i AS dy, j AS dx FROM range(-1, 2) a(i), range(-1, 2) b(j)),
-e AS (SELECT a.y, a.x, min(b.v) AS e FROM g a, o JOIN g b ON b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL),
-d AS (SELECT a.y, a.x, max(b.e) AS o FROM e a, o JOIN e b ON b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL)
-SELECT y, x, greatest(v - o, 0)::BIGINT AS skeleton FROM g JOIN d USING (y, x)""")
+WITH {PLANE}, g AS (SELECT y, x, least(1, v / 300.0::DOUBLE) AS v FROM plane), {AROUND}, {_opened("a", "g")}, {_opened("b", "ae")}
+SELECT y, x, round(a.d + greatest(b.d - a.d * b.d, 0), 6) AS skeleton FROM ad a JOIN bd b USING (y, x)""")
 def soft_skeleton(spark: SparkSession, sf: str) -> DataFrame:
-    return grids.soft_skeleton(grids.box(plane(spark, sf), x=(0, 200))).select("y", "x", F.col("skeleton").cast("long").alias("skeleton"))
+    """Residuals of two openings."""
+    g = plane(spark, sf).select("y", "x", F.least(F.lit(1.0), F.col("v") / 300.0).alias("v"))
+    return regions.soft_skeleton(g, ("y", "x"), "v", 1).withColumn("skeleton", F.round("skeleton", 6))
+
+
+@query(f"""
+WITH {PLANE}, g AS (SELECT y, x, CASE WHEN v % 3 = 0 THEN 1 WHEN v % 7 = 0 THEN 2 ELSE 0 END AS label, v FROM plane),
+o AS (SELECT i AS dy, j AS dx FROM range(-2, 3) a(i), range(-2, 3) b(j)),
+n AS (SELECT g.y, g.x FROM g WHERE EXISTS (SELECT 1 FROM o JOIN g b ON b.y = g.y + dy AND b.x = g.x + dx AND b.label = 1)),
+f AS (SELECT g.y, g.x, count(n.y) AS near, count(*) AS every FROM g, o JOIN g b ON b.y = g.y + dy AND b.x = g.x + dx LEFT JOIN n ON n.y = b.y AND n.x = b.x GROUP BY g.y, g.x)
+SELECT g.y // 16 AS ty, count(*) AS gaps, round(avg(least(1, v / 300.0::DOUBLE)), 6) AS loss FROM g JOIN f USING (y, x) WHERE label = 0 AND near = every GROUP BY 1""")
+def separation_penalty(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean prediction in the gaps that a closing of the surface would bridge, by band of rows."""
+    v = F.col("v")
+    g = plane(spark, sf).select("y", "x", F.when(v % 3 == 0, 1).when(v % 7 == 0, 2).otherwise(0).alias("label"), F.least(F.lit(1.0), v / 300.0).alias("p"))
+    gaps = regions.bridged_gaps(g, ("y", "x"), "label", 2).withColumn("ty", F.floor(F.col("y") / 16).cast("long"))
+    return gaps.groupBy("ty").agg(F.count("*").alias("gaps"), F.round(F.avg("p"), 6).alias("loss"))
 
 
 @query("""
@@ -223,23 +244,56 @@ def splat_confidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH {VOX}, m AS (SELECT z, y, x, 1 / (1 + exp(-((v - 128) / 255.0) / 0.4)) AS m, v / 255.0 AS a FROM vox WHERE z < 20),
+WITH {VOX}, m AS (SELECT z, y, x, 1 / (1 + exp(-((v - 128) / 255.0) / 0.4)) AS m, v / 255.0 AS a FROM vox),
 e AS (SELECT p.a AS aff, p.m * q.m AS g, 1 - 0.25 AS along FROM m p JOIN m q ON q.z = p.z AND q.y = p.y AND q.x = p.x + 1)
 SELECT round(sum(g * along * (aff - 1) ** 2) / greatest(sum(g * along), 1), 6) AS grow,
        round(sum((1 - g) * aff ** 2) / greatest(sum(1 - g), 1), 6) AS air FROM e""")
 def material_grow(spark: SparkSession, sf: str) -> DataFrame:
-    m = grids.box(voxels(spark, sf), z=(0, 20)).select("z", "y", "x", losses.material_prob((F.col("v") - 128) / 255.0, 0.0, 0.4).alias("m"), (F.col("v") / 255.0).alias("a"))
+    m = voxels(spark, sf).select("z", "y", "x", losses.material_prob((F.col("v") - 128) / 255.0, 0.0, 0.4).alias("m"), (F.col("v") / 255.0).alias("a"))
     partner = m.select("z", "y", (F.col("x") - 1).alias("x"), F.col("m").alias("q"))
     edges = m.join(partner, ["z", "y", "x"]).select(F.col("a").alias("aff"), (F.col("m") * F.col("q")).alias("g"), F.lit(0.75).alias("along"))
     return losses.grow_air(edges, "aff", "g", "along").select(F.round("grow", 6).alias("grow"), F.round("air", 6).alias("air"))
 
 
 @query(f"""
-WITH {VOX}, c AS (SELECT z // 4 AS cz, y // 16 AS cy, x // 16 AS cx, max(v) AS vmax FROM vox GROUP BY ALL)
-SELECT v.z, v.y, v.x, v.v FROM vox v JOIN c ON cz = z // 4 AND cy = y // 16 AND cx = x // 16
-WHERE vmax >= 200 AND z >= 2 AND z < 11 AND y >= 5 AND y < 50 AND x >= 30 AND x < 60""")
+WITH {VOX}, c AS (SELECT floor(z / 4) AS cz, y // 16 AS cy, x // 16 AS cx, max(v) AS vmax FROM vox GROUP BY ALL)
+SELECT v.z, v.y, v.x, v.v FROM vox v JOIN c ON cz = floor(z / 4) AND cy = y // 16 AND cx = x // 16
+WHERE vmax >= 40 AND z >= 2 AND z < 11 AND y >= 5 AND y < 50 AND x >= 3 AND x < 30""")
 def chunk_range_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.chunk_box(catalog.chunked(voxels(spark, sf)), (2, 11, 5, 50, 30, 60), least=200)
+    """A box of a table of chunks: chunks are pruned by number and by their largest value before their cells are unpacked."""
+    return catalog.chunk_box(catalog.chunked(voxels(spark, sf)), (2, 11, 5, 50, 3, 30), least=40)
+
+
+@query(f"""
+WITH {VOX} SELECT z, y, x, v FROM vox WHERE v > 0 AND z >= 2 AND z < 11 AND y >= 5 AND y < 50 AND x >= 3 AND x < 30""")
+def store_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A box of a chunk store, written here and read back by its data source: only the chunks of the box are opened."""
+    folder = _steps(spark, "store")
+    store.write_store(voxels(spark, sf), folder, (84, 64, 64), (8, 16, 16), voxel_um=9.0)
+    spark.dataSource.register(store.ChunkStore)
+    found = spark.read.format("voxlake_store").option("path", folder).option("box", "2:11,5:50,3:30").load()
+    return found.where("v > 0").select(*(F.col(a).cast("long").alias(a) for a in "zyx"), F.col("v").cast("long").alias("v"))
+
+
+@query(f"""
+WITH {VOX}, l1 AS (SELECT z // 2 AS z, y // 2 AS y, x // 2 AS x, max(v) AS v FROM vox GROUP BY 1, 2, 3),
+l2 AS (SELECT z // 2 AS z, y // 2 AS y, x // 2 AS x, max(v) AS v FROM l1 GROUP BY 1, 2, 3)
+SELECT z, y, x, v FROM l2 WHERE v > 0""")
+def store_level(spark: SparkSession, sf: str) -> DataFrame:
+    """The second level of a store's pyramid, each level made from the one below."""
+    folder = _steps(spark, "pyramid")
+    store.write_store(voxels(spark, sf), folder, (84, 64, 64), (8, 16, 16), voxel_um=9.0, levels=3)
+    spark.dataSource.register(store.ChunkStore)
+    found = spark.read.format("voxlake_store").option("path", folder).option("level", "2").load()
+    return found.where("v > 0").select(*(F.col(a).cast("long").alias(a) for a in "zyx"), F.col("v").cast("long").alias("v"))
+
+
+def _steps(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from voxlake.operators.graph import shared_folder
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("""
@@ -256,19 +310,14 @@ def demo_block(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def refine_passes(spark: SparkSession, sf: str) -> DataFrame:
     """Three passes of the stand-in scorer over the events plane, each a table; a rerun resumes."""
-    from voxlake.operators.graph import _own_folder
-
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
     grid = plane(spark, sf).withColumn("v", F.least(F.lit(255), F.col("v")).cast("long"))
-    return refine.refine(grid, f"{folder}/refine-{uuid.uuid4().hex}").select("y", "x", "p")
+    return refine.refine(grid, _steps(spark, "refine")).select("y", "x", "p")
 
 
 @query()
 def malis_maximin(spark: SparkSession, sf: str) -> DataFrame:
     """Constrained maximin losses for each depth of the grid, on edges to the right and downwards."""
-    v = grids.box(voxels(spark, sf), y=(0, 16), x=(0, 16)).select("z", "y", "x", (F.col("y") * 64 + F.col("x")).alias("n"), (F.col("v") % 4).alias("label"), (F.col("v") / 255.0).alias("p"))
+    v = voxels(spark, sf).select("z", "y", "x", (F.col("y") * 64 + F.col("x")).alias("n"), (F.col("v") % 4).alias("label"), (F.col("v") / 255.0).alias("p"))
     ends = grids.shifted(v.withColumnsRenamed({"n": "a", "label": "label_a", "p": "pa"}), [(0, 1), (1, 0)], ("y", "x"))
     edges = ends.join(v.select("z", "y", "x", F.col("n").alias("b"), F.col("label").alias("label_b"), F.col("p").alias("pb")), ["z", "y", "x"])
     items = edges.select(F.col("z").alias("item"), "a", "b", ((F.col("pa") + F.col("pb")) / 2).alias("aff"), "label_a", "label_b")
@@ -276,32 +325,67 @@ def malis_maximin(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("item", *(F.round(c, 9).alias(c) for c in ("positive", "negative", "loss")))
 
 
+#: Layers around a block that its kernels see: four sigmas of the widest smoothing.
+HALO = 12
+
+
 def _blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """One 12 x 64 x 64 block for each year of the grid."""
+    """One 12 x 64 x 64 block for each year of the grid, with HALO layers of its neighbours on either side (fewer at the ends)."""
     import numpy as np
     import pandas as pd
 
+    first, last = 0, 84  # the months of the table
+
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        block = np.zeros((12, 64, 64), "<f4")
-        block[rows["z"] % 12, rows["y"], rows["x"]] = rows["v"]
-        return pd.DataFrame([(int(key[0]), 12, 64, 64, block.tobytes())], columns=["block_id", "dz", "dy", "dx", "data"])
+        begin = 12 * int(key[0])
+        low, high = max(first, begin - HALO), min(last, begin + 12 + HALO)
+        block = np.zeros((high - low, 64, 64), "<f4")
+        block[rows["z"] - low, rows["y"], rows["x"]] = rows["v"]
+        return pd.DataFrame([(int(key[0]), high - low, 64, 64, begin - low, block.tobytes())], columns=["block_id", "dz", "dy", "dx", "skip", "data"])
 
-    v = voxels(spark, sf).withColumn("block_id", F.floor(F.col("z") / 12).cast("long"))
-    return v.groupBy("block_id").applyInPandas(pack, "block_id long, dz int, dy int, dx int, data binary")
+    v = voxels(spark, sf).where((F.col("z") >= first) & (F.col("z") < last))
+    near = F.sequence(F.floor((F.col("z") - HALO) / 12), F.floor((F.col("z") + HALO) / 12))
+    v = v.withColumn("block_id", F.explode(near)).where((F.col("block_id") >= first // 12) & (F.col("block_id") < last // 12))
+    v = v.where((F.col("z") >= 12 * F.col("block_id") - HALO) & (F.col("z") < 12 * F.col("block_id") + 12 + HALO))
+    return v.groupBy("block_id").applyInPandas(pack, "block_id long, dz int, dy int, dx int, skip int, data binary")
 
 
 @query()
 def structure_tensor(spark: SparkSession, sf: str) -> DataFrame:
-    def kernel(b):
-        return {"coherence": float(fields.structure_tensor(b, 1.0, 2.0)["coherence"].mean().round(6))}
+    def kernel(b, own):
+        return {"coherence": float(fields.structure_tensor(b, 1.0, 2.0)["coherence"][own].mean().round(6))}
 
     return fields.over_blocks(_blocks(spark, sf), kernel, "coherence double")
 
 
+@query()
+def orientation_tensor(spark: SparkSession, sf: str) -> DataFrame:
+    """Unit-trace tensors: the mean of each component over a block's own layers."""
+
+    def kernel(b, own):
+        t = fields.orientation(b, 1.0, 2.0)
+        return {n: float(t[..., k][own].mean().round(6)) for k, n in enumerate(("zz", "yy", "xx", "zy", "zx", "yx"))}
+
+    return fields.over_blocks(_blocks(spark, sf), kernel, "zz double, yy double, xx double, zy double, zx double, yx double")
+
+
+@query()
+def mask_coherence(spark: SparkSession, sf: str) -> DataFrame:
+    """Coherence of a binary mask's surfaces, and the share of the mask that is coherent."""
+
+    def kernel(b, own):
+        mask = b > 60
+        c = fields.mask_coherence(mask)
+        held = mask[own]
+        return {"cells": int(held.sum()), "coherent": float((held & (c[own] > 0.88)).sum() / max(1, held.sum()))}
+
+    return fields.over_blocks(_blocks(spark, sf), kernel, "cells long, coherent double")
+
+
 @query()
 def diffusion(spark: SparkSession, sf: str) -> DataFrame:
-    def kernel(b):
-        u = fields.diffused(b, 3)
+    def kernel(b, own):
+        u = fields.diffused(b)[own]
         return {"mean": float(u.mean().round(4)), "spread": float(u.std().round(4))}
 
     return fields.over_blocks(_blocks(spark, sf), kernel, "mean double, spread double")
@@ -309,19 +393,21 @@ def diffusion(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def edt_owner(spark: SparkSession, sf: str) -> DataFrame:
-    def kernel(b):
+    def kernel(b, own):
         seeds = (b.astype(int) % 7 == 1) * (b.astype(int) // 7 + 1)
         m, owner = fields.crest(seeds)
-        return {"crest": float(m.mean().round(6)), "owners": int(len(set(owner.ravel().tolist())))}
+        return {"crest": float(m[own].mean().round(6)), "owners": int(len(set(owner[own].ravel().tolist())))}
 
     return fields.over_blocks(_blocks(spark, sf), kernel, "crest double, owners long")
 
 
 @query()
 def streamlets(spark: SparkSession, sf: str) -> DataFrame:
-    def kernel(b):
+    """Lines whose seeds lie in a block's own layers, at the operator's stride and length."""
+
+    def kernel(b, own):
         f = fields.structure_tensor(b, 1.0, 2.0)
-        lines = fields.traced(f["fibre"], f["coherence"], stride=8, most=20)
+        lines = fields.traced(f["fibre"], f["coherence"], layers=own)
         return {"lines": len(lines), "points": int(sum(map(len, lines)))}
 
     return fields.over_blocks(_blocks(spark, sf), kernel, "lines long, points long")
@@ -331,10 +417,7 @@ def streamlets(spark: SparkSession, sf: str) -> DataFrame:
 def compression_period(spark: SparkSession, sf: str) -> DataFrame:
     import numpy as np
 
-    def kernel(b):
-        return {"period": float(np.median(fields.local_period(b, 1.0, 2.0)).round(6))}
+    def kernel(b, own):
+        return {"period": float(np.median(fields.local_period(b, 1.0, 2.0)[own]).round(6))}
 
     return fields.over_blocks(_blocks(spark, sf), kernel, "period double")
-
-
-__all__ = ["sigmoid"]
