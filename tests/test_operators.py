@@ -59,8 +59,12 @@ def test_region_and_coords(spark):
     assert catalog.parse_region("0:1,2:3,4:9") == (0, 1, 2, 3, 4, 9)
     with pytest.raises(ValueError):
         catalog.parse_region("3:1,0:1,0:1")
-    lines = spark.createDataFrame([("# note",), ("1,2,3 # here",), ("s7, 4,5,6",), ("",)], "value string")
-    assert sorted(map(tuple, catalog.parse_coords(lines, "main").collect())) == [("main", 1, 2, 3), ("s7", 4, 5, 6)]
+    assert catalog.parse_region("") is None and catalog.parse_region(None) is None
+    lines = spark.createDataFrame([("# note",), (" 1,2,3 ",), ("7 8 9",), ("s7, 4,5,6",), ("s8 4 5\t6",), ("",)], "value string")
+    assert sorted(map(tuple, catalog.parse_coords(lines, "main").collect())) == [("main", 1, 2, 3), ("main", 7, 8, 9), ("s7", 4, 5, 6), ("s8", 4, 5, 6)]
+    for text, scroll in (("1,2,3 # here", "main"), ("1,2,3", None)):
+        with pytest.raises(Exception, match="not a coordinate line"):
+            catalog.parse_coords(spark.createDataFrame([(text,)], "value string"), scroll).collect()
     with pytest.raises(Exception, match="not a coordinate line"):
         catalog.parse_coords(spark.createDataFrame([("1,2",)], "value string"), "main").collect()
 
@@ -77,8 +81,10 @@ def test_exact_quantiles(spark):
 
 
 def test_names(spark):
-    row = spark.range(1).select(names.pretty_name(F.lit("0172Cr3")), names.voxel_um(F.lit("a 7.91 UM x")), names.master_seed(F.lit("a"), F.lit("b")), names.duration_text(F.lit(3725))).first()
-    assert tuple(row) == ("172 Cr 3", 7.91, 3497157185, "1h02m05s")
+    row = spark.range(1).select(names.pretty_name(F.lit("0172Cr3")), names.voxel_um(F.lit("a 7.91 UM x")), names.master_seed(F.lit("a"), F.lit("b")), names.duration_text(F.lit(3725.4))).first()
+    assert tuple(row) == ("172 Cr 3", 7.91, 3497157185, "1h02m")
+    texts = spark.createDataFrame([(45.2,), (723.0,), (3840.0,), (None,), (float("inf"),), (59.5,)], "s double").select(names.duration_text(F.col("s")))
+    assert [r[0] for r in texts.collect()] == ["45s", "12m03s", "1h04m", "??", "??", "1m00s"]
 
 
 def test_radius_pairs_match_brute_force(spark):
@@ -146,6 +152,7 @@ def test_sheet_and_triangles():
     g, foot = clusters.sheet_grid(p, 2.0)
     assert foot.any() and np.abs(g[..., 2]).max() < 1e-9
     assert len(clusters.triangles(np.ones((3, 4), bool))) == 2 * 2 * 3
+    assert clusters.triangles(np.array([[1, 1], [1, 0]])).tolist() == [[0, 2, 1]] and clusters.triangles(np.array([[0, 1], [1, 1]])).tolist() == [[2, 3, 1]]
     assert np.abs(clusters.vertex_normals(g)[..., 2]).min() > 0.99
 
 
