@@ -75,8 +75,8 @@ def channel_weight(spark: SparkSession, sf: str) -> DataFrame:
 WITH {PLANE}, c AS (SELECT y // 8 AS y, x // 24 AS x, avg(v) AS v FROM plane GROUP BY 1, 2),
 yy AS (SELECT t AS y, c.x, sum(v * greatest(0, 1 - abs(t * 15.0::DOUBLE / 63 - c.y))) AS v FROM c, range(0, 64) r(t) WHERE abs(t * 15.0::DOUBLE / 63 - c.y) <= 1 GROUP BY 1, 2),
 xx AS (SELECT yy.y, t AS x, sum(v * greatest(0, 1 - abs(t * 30.0::DOUBLE / 92 - yy.x))) AS v FROM yy, range(0, 93) r(t) WHERE abs(t * 30.0::DOUBLE / 92 - yy.x) <= 1 GROUP BY 1, 2)
-SELECT y, x, round(v, 4) AS v FROM xx WHERE v > 1e-6""")
+SELECT y, x, round(v, 7) AS v FROM xx WHERE v > 1e-6""")
 def magnified(spark: SparkSession, sf: str) -> DataFrame:
     """A coarse channel on a finer grid."""
     coarse = plane(spark, sf).groupBy(F.floor(F.col("y") / 8).alias("y"), F.floor(F.col("x") / 24).alias("x")).agg(F.avg("v").alias("v"))
-    return ops.magnified(coarse, ("y", "x"), "v", {"y": 16, "x": 31}, {"y": 64, "x": 93}).where("v > 1e-6").withColumn("v", F.round("v", 4))
+    return ops.magnified(coarse, ("y", "x"), "v", {"y": 16, "x": 31}, {"y": 64, "x": 93}).where("v > 1e-6").withColumn("v", F.round("v", 7))
