@@ -413,6 +413,18 @@ def streamlets(spark: SparkSession, sf: str) -> DataFrame:
     return fields.over_blocks(_blocks(spark, sf), kernel, "lines long, points long")
 
 
+@query()
+def plane_streamlets(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that stay in the plane of the normal and the fibre at their seed."""
+
+    def kernel(b, own):
+        f = fields.structure_tensor(b, 1.0, 2.0)
+        lines = fields.traced(f["fibre"], f["coherence"], layers=own, plane=f["normal"])
+        return {"lines": len(lines), "points": int(sum(map(len, lines)))}
+
+    return fields.over_blocks(_blocks(spark, sf), kernel, "lines long, points long")
+
+
 @query()
 def compression_period(spark: SparkSession, sf: str) -> DataFrame:
     import numpy as np
