@@ -40,7 +40,9 @@ from voxlake.llm.tokens import word_ids
 
 SIZE, END_ID = 4096, 1
 #: Rows and megabytes of text that are tokenised at once.
-SLICE_ROWS, SLICE_MB = 500, 1
+SLICE_ROWS, SLICE_MB = 1000, 4
+#: What a worker may hold when a task ends, so that it keeps its words.
+IDS_MB = 340
 #: Steps of enumeration at a node of a dive, at a node of the search, and in all nodes of the search.
 DIVE_STEPS, NODE_STEPS, SEARCH_STEPS = 100, 4_000, 400_000
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
@@ -291,7 +293,7 @@ def _encode(path: str, size: int, keep_ids: bool):
         finally:
             gc.enable()
 
-    return lambda batches: at_end(encode(batches))
+    return lambda batches: at_end(encode(batches), IDS_MB)
 
 
 def _place(plan: Plan):

@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame
 from voxlake.llm.common import at_end, cached, docs_of, empty, pieces
 
 #: Words whose counts a worker remembers, words whose ids it does, and the letters of the longest.
-CACHE, IDS_CACHE, LONG = 900_000, 300_000, 64
+CACHE, IDS_CACHE, LONG = 900_000, 600_000, 64
+#: What a worker that counts may hold when a task ends, so that it keeps its words.
+COUNTS_MB = 400
 #: Words that the library encodes at once.
 TOGETHER = 4096
 #: Beyond these characters the pattern engines may follow different Unicode versions.
@@ -150,7 +152,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
             rows = [batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([counter(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(rows, schema=_COUNTS)
 
-    counted = docs_of(docs).mapInArrow(lambda bs: at_end(run(p for b in bs for p in pieces(b))), "doc_id long, n_bytes long, n_tokens long")
+    counted = docs_of(docs).mapInArrow(lambda bs: at_end(run(p for b in bs for p in pieces(b)), COUNTS_MB), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", counted.n_tokens > limit)
 
 
