@@ -51,9 +51,9 @@ r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNB
 SELECT user_id, run::BIGINT AS run, count(*) AS n, min(ts)::VARCHAR AS first, max(ts)::VARCHAR AS last FROM r GROUP BY user_id, run HAVING count(*) >= 3""")
 def split_runs(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("user_id", "ts", "event_id")
-    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy(*ORDER))
-    e = e.withColumn("gap", F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(before.cast("timestamp")))
-    r = ops.runs(e, "user_id", ORDER, F.col("gap") > 43200)
+    now = F.col("ts").cast("timestamp_ntz")  # whole microseconds, whatever the session's time zone is
+    before = F.lag(now).over(Window.partitionBy("user_id").orderBy(*(F.asc_nulls_last(c) for c in ORDER)))
+    r = ops.runs(e.withColumn("gap", now - before), "user_id", ORDER, F.col("gap") > F.expr("interval '12' hour"))
     return r.select("user_id", "run", "n", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"))
 
 
