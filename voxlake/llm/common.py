@@ -93,7 +93,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 #: What a Python worker may hold of its own when a task ends.
-WORKER_MB = 220
+WORKER_MB = 110
 
 
 def held_mb() -> float:

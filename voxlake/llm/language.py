@@ -35,7 +35,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 SCRIPTS = ((0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "syriac"), (0x900, "indic"), (0xE00, "thai"), (0xE80, "lao"), (0xF00, "tibetan"), (0x1000, "myanmar"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x13A0, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "han"), (0xAC00, "hangul"), (0xD7B0, "han"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"), (0x20000, "han"), (0x30000, "other"))
 _STARTS = np.array([s for s, _ in SCRIPTS])
 #: Words that a worker remembers, and their letters.
-CACHE, CACHE_LETTERS = 250_000, 4_000_000
+CACHE, CACHE_LETTERS = 120_000, 2_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -227,7 +227,7 @@ def with_language(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _word_scores(model) if model.languages else None
         for whole in batches:
-            for batch in pieces(whole, 1500, 4):
+            for batch in pieces(whole, 800, 2):
                 texts = [t or "" for t in batch.column(at).to_pylist()]
                 found = _predict(texts, scores, penalty) if scores is not None else ([UND] * len(texts), [0.0] * len(texts), [[]] * len(texts))
                 new = [pa.array(c, f.type) for c, f in zip(found, _LANGS)]
